@@ -132,3 +132,71 @@ ft AS (
 def sql_key(key: str, seed: int) -> str:
     """The arithmetic sampling number in SQL."""
     return f"((({key} % 2147483648) * 1103515245 + {12345 + 7919 * seed}) % 2147483648)"
+
+
+# Codes of the stand-in answers, and weights of the linear score used where an exact attribution is wanted.
+CODES = {"head_sex": 2, "housing_tenure": 3, "floor_material": 6, "electricity_source": 5, "water_source": 5,
+         "rural_urban": 3}
+
+
+def code_lists() -> dict[str, list[str]]:
+    return {f: [str(c) for c in range(1, n + 1)] for f, n in CODES.items()}
+
+
+def score_weights() -> dict[str, float]:
+    """Weight of each design column in the linear score."""
+    weights = {"head_age": 0.004, "rooms": 0.006, "household_size": 0.02}
+    for i, (feature, n) in enumerate(CODES.items()):
+        for code in range(1, n + 1):
+            weights[f"{feature}_{code}"] = (i + 1) * 0.01 * (code - n / 3)
+    return weights
+
+
+def design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Design matrix of all households with their wave and zone."""
+    from panelspark.operators.encode import design_matrix
+
+    return design_matrix(features(spark, sf_dir), ["hhid", "wave", "zone"], NUMERIC, code_lists())
+
+
+def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long `(hhid, wave, zone, column, phi)`: the exact attribution of a linear score.
+
+    Each column gets its weight times the distance from the wave's mean; a
+    missing answer counts as the mean.
+    """
+    x = design(spark, sf_dir)
+    weights = score_weights()
+    means = x.groupBy("wave").agg(*[F.avg(c).alias(f"m_{c}") for c in weights])
+    phi = [F.coalesce((F.col(c) - F.col(f"m_{c}")) * w, F.lit(0.0)).alias(c) for c, w in weights.items()]
+    return x.join(means, "wave").select("hhid", "wave", "zone", *phi).unpivot(
+        ["hhid", "wave", "zone"], list(weights), "column", "phi")
+
+
+def _sql_design() -> str:
+    dummies = ", ".join(f"CAST({f} = {c} AS DOUBLE) AS {f}_{c}" for f, n in CODES.items() for c in range(1, n + 1))
+    return f"""
+x AS (SELECT hhid, wave, zone, head_age, rooms, CAST(household_size AS DOUBLE) AS household_size, {dummies} FROM ft)"""
+
+
+def _sql_attribution() -> str:
+    w = score_weights()
+    means = ", ".join(f"avg({c}) AS m_{c}" for c in w)
+    phi = ", ".join(f"coalesce(({c} - m_{c}) * {v!r}, 0.0) AS {c}" for c, v in w.items())
+    return f"""
+m AS (SELECT wave, {means} FROM x GROUP BY wave),
+wide AS (SELECT hhid, x.wave, zone, {phi} FROM x JOIN m ON x.wave = m.wave),
+phi AS (UNPIVOT wide ON {", ".join(w)} INTO NAME "column" VALUE phi)"""
+
+
+SQL_DESIGN = f"{SQL_FEATURES},{_sql_design()}"
+SQL_ATTRIBUTION = f"{SQL_DESIGN},{_sql_attribution()}"
+
+# Importance of each feature per household, then per zone, then overall.
+SQL_IMPORTANCE = f"""{SQL_ATTRIBUTION},
+byf AS (SELECT hhid, wave, zone, CASE {" ".join(f"WHEN starts_with(\"column\", '{f}') THEN '{f}'" for f in CODES)}
+               ELSE "column" END AS feature, sum(abs(phi)) AS importance
+        FROM phi GROUP BY ALL),
+zt AS (SELECT wave, zone, feature, avg(importance) AS mean_importance, count(*) AS n_households
+       FROM byf WHERE zone IS NOT NULL GROUP BY ALL),
+ov AS (SELECT wave, feature, avg(mean_importance) AS importance FROM zt GROUP BY ALL)"""
