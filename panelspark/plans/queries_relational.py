@@ -566,9 +566,8 @@ def one_hot(spark, sf):
 
 
 @query("r2_wide_to_long", with_sql("""
-SELECT hhid, feature, v AS value FROM (UNPIVOT INCLUDE NULLS (SELECT hhid, head_age, rooms,
-  CAST(household_size AS DOUBLE) AS household_size FROM ft) ON head_age, rooms, household_size
-  INTO NAME feature VALUE v)""", FT))
+SELECT hhid, feature, value FROM (SELECT hhid, head_age, rooms, CAST(household_size AS DOUBLE) AS household_size FROM ft)
+UNPIVOT INCLUDE NULLS (value FOR feature IN (head_age, rooms, household_size))""", FT))
 def wide_to_long(spark, sf):
     return panel.features(spark, sf).select("hhid", "head_age", "rooms", F.col("household_size").cast("double")).unpivot(
         ["hhid"], panel.NUMERIC, "feature", "value")
