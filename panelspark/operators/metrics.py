@@ -96,7 +96,8 @@ def rank_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()
         F.sum(pos).alias("_pos"), F.sum(1 - pos).alias("_neg"))
     points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = counts.agg(F.percentile_approx("_s", points, F.lit(10 * ranges))).scalar()
-    ranged = counts.withColumn("_r", F.size(F.filter(cuts, lambda c: c < F.col("_s"))))
+    ranged = counts.withColumn("_cuts", cuts).withColumn(
+        "_r", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
     below = Window.partitionBy(*by, "_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
     parts = inside.groupBy(*by, "_r").agg(
