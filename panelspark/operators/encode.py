@@ -21,6 +21,8 @@ def categories(df: DataFrame, columns: Sequence[str], limit: int = 10_000) -> di
 
     The width of the matrix is the number of codes, so it is checked against `limit`.
     """
+    if not columns:
+        return {}
     long = df.select(*[_code_text(F.col(c)).alias(c) for c in columns]).unpivot([], list(columns), "feature", "code")
     rows = bounded_rows(long.where("code is not null").distinct(), limit, "The set of category codes")
     found: dict[str, list[str]] = {c: [] for c in columns}

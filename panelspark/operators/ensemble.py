@@ -48,26 +48,22 @@ class FittedLearner:
         return out.withColumn(output, combined).drop(*[f"_pp{i}" for i in range(len(parts))])
 
 
-_OUT = {"labelCol": "_label", "featuresCol": "features", "probabilityCol": "_probability",
-        "predictionCol": "_prediction", "rawPredictionCol": "_raw"}
-
-
 def make_learner(name: str, s: StackingSettings, seed: int, n_rows: int, n_features: int, n_classes: int):
     """An unfitted Spark learner for one model family."""
     if name == "glm":
         # The penalty matches an L2 weight of 1 on the summed loss.
         return LogisticRegression(maxIter=s.glm_iterations, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0,
-                                  standardization=False, **_OUT)
+                                  standardization=False)
     if name == "gbm":
-        return GBTClassifier(maxIter=s.gbm_trees, maxDepth=s.gbm_depth, stepSize=s.learning_rate, seed=seed, **_OUT)
+        return GBTClassifier(maxIter=s.gbm_trees, maxDepth=s.gbm_depth, stepSize=s.learning_rate, seed=seed)
     if name == "drf":
         return RandomForestClassifier(numTrees=s.drf_trees, maxDepth=s.drf_depth, featureSubsetStrategy="sqrt",
-                                      seed=seed, **_OUT)
+                                      seed=seed)
     if name == "xgb":
-        return GBTClassifier(maxIter=s.xgb_trees, maxDepth=s.xgb_depth, stepSize=s.learning_rate, seed=seed + 1, **_OUT)
+        return GBTClassifier(maxIter=s.xgb_trees, maxDepth=s.xgb_depth, stepSize=s.learning_rate, seed=seed + 1)
     if name == "nn":
         return MultilayerPerceptronClassifier(layers=[n_features, *s.hidden_layers, n_classes], maxIter=s.nn_epochs,
-                                              seed=seed, **_OUT)
+                                              seed=seed)
     raise ValueError(f"Unknown learner {name!r}.")
 
 
@@ -75,6 +71,8 @@ def fit_learner(df: DataFrame, label: str, name: str, s: StackingSettings, seed:
                 n_classes: int) -> FittedLearner:
     """Fit on a `features` vector and a 0-based class label."""
     learner = make_learner(name, s, seed, n_rows, n_features, n_classes)
+    learner = (learner.setLabelCol("_label").setFeaturesCol("features").setProbabilityCol("_probability")
+               .setPredictionCol("_prediction").setRawPredictionCol("_raw"))
     targets = [F.col(label)] if n_classes == 2 or name not in ("gbm", "xgb") else [
         (F.col(label) == k) for k in range(n_classes)]
     return FittedLearner(name, tuple(

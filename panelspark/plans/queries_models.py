@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark import spec
 from panelspark.functions import columns as fc
 from panelspark.operators import cluster, impute, metrics, reduce, sampling
 from panelspark.plans import panel
@@ -335,3 +336,146 @@ SELECT metric, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) +
 def mean_std_over_folds(spark, sf):
     return metrics.aggregate_folds(_runs(spark, sf)).select("metric", r6(F.col("mean")).alias("mean"),
                                                             r6(F.col("std")).alias("std"))
+
+
+# ---- fitted clusters and ensembles -----------------------------------------
+
+def quick_stacking(learners=("glm", "gbm", "drf", "xgb", "nn"), cv=3):
+    """All model families with few iterations, for runs that only need to show they work."""
+    return spec.StackingSettings(base_learners=tuple(learners), cv=cv, glm_iterations=50, gbm_trees=5, drf_trees=10,
+                                 drf_depth=6, xgb_trees=8, hidden_layers=(8,), nn_epochs=20)
+
+
+def quick_settings(learners=("glm", "drf"), seeds=(42, 43), cv=3):
+    return spec.Settings(cluster=spec.ClusterSettings(n_init=2), stacking=quick_stacking(learners, cv),
+                         experiment=spec.ExperimentSettings(seeds=tuple(seeds)))
+
+
+def document_design(spark, sf, truth=None):
+    """All documents as a design with missing answers; quality and toxicity share their gaps."""
+    from panelspark.plans.experiment import Design
+
+    rows = documents(spark, sf)
+    log = F.log1p("n_chars").alias("n_chars")
+    columns = [c for c in DOC_COLUMNS if c != truth]
+    groups = {"toxic": ["toxic"]} if truth == "quality" else {"label": ["quality", "toxic"]}
+    table_ = rows.where(F.col(truth).isNotNull()) if truth else rows
+    picked = table_.select("doc_id", log, *columns[1:], *([F.col(truth).cast("int").alias(truth)] if truth else []))
+    return Design(picked, "doc_id", tuple(columns), groups, truth)
+
+
+def labelled_documents(spark, sf):
+    """Documents with a known label, ready for a classifier."""
+    columns = ["n_chars", "source_no", "lang_1", "lang_2", "lang_3", "toxic"]
+    rows = documents(spark, sf).where("quality is not null").withColumn("n_chars", F.log1p("n_chars"))
+    return rows.select("doc_id", "lang", F.col("quality").cast("int").alias("quality"), *columns), columns
+
+
+def _coordinates(spark, sf, n=2):
+    v = vectors(spark, sf)
+    fitted = reduce.fit_reducer(v, VECTOR, "pca", n)
+    return fitted.transform(v).select("vec_id", "label", *fitted.outputs), fitted.outputs
+
+
+@query("m5_kmeans")
+def kmeans(spark, sf):
+    points, outputs = _coordinates(spark, sf)
+    return cluster.fit_kmeans(points, outputs, 2, n_init=3).assign(points, "cluster")
+
+
+@query("m8_choose_k")
+def choose_k(spark, sf):
+    points, outputs = _coordinates(spark, sf)
+    best, scores = cluster.choose_k(points, outputs, (2, 3, 4), n_init=2)
+    return spark.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, chosen boolean")
+
+
+def _learner(name):
+    def run(spark, sf):
+        from pyspark.ml.functions import array_to_vector
+
+        from panelspark.operators.encode import vector_column
+        from panelspark.operators.ensemble import fit_learner
+
+        rows, columns = labelled_documents(spark, sf)
+        data = rows.select("doc_id", "quality", array_to_vector(vector_column(columns)).alias("features"))
+        model = fit_learner(data, "quality", name, quick_stacking(), 42, data.count(), len(columns), 2)
+        return model.transform(data, "p").select("doc_id", "quality", F.col("p")[1].alias("probability"))
+
+    return run
+
+
+for _id, _name, _short in (("m17", "glm", "logistic"), ("m18", "gbm", "boosting"), ("m19", "drf", "forest"),
+                           ("m20", "xgb", "second_boosting"), ("m21", "nn", "neural_net")):
+    query(f"{_id}_{_short}")(_learner(_name))
+
+
+@query("m22_stacking")
+def stacking(spark, sf):
+    from panelspark.operators.ensemble import fit_stack
+
+    rows, columns = labelled_documents(spark, sf)
+    model = fit_stack(rows, "doc_id", columns, "quality", quick_stacking(), 42, 2)
+    return model.transform(rows).select("doc_id", "quality", "prediction", F.col("probability")[1].alias("probability"))
+
+
+@query("m24_experiment")
+def experiment(spark, sf):
+    from panelspark.plans.experiment import run_experiment
+
+    return run_experiment(document_design(spark, sf), quick_settings())["aggregate"]
+
+
+@query("m25_outside_label", """
+SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, quality AS label FROM documents JOIN labels USING (doc_id)""")
+def outside_label(spark, sf):
+    from panelspark.plans.experiment import build_design
+
+    docs = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("rooms"))
+    truth = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    design = build_design(docs, "doc_id", truth=truth, truth_col="label")
+    return design.table.select("doc_id", F.col(design.columns[0]).alias("n_chars"), "label")
+
+
+@query("m25_outside_label_run")
+def outside_label_run(spark, sf):
+    from panelspark.plans.experiment import run_experiment
+
+    return run_experiment(document_design(spark, sf, truth="quality"), quick_settings(seeds=(42,)))["summary"]
+
+
+@query("m26_fold_probe")
+def fold_probe(spark, sf):
+    from panelspark.plans.experiment import fold_probe as probe
+
+    return metrics.aggregate_folds(probe(document_design(spark, sf), quick_settings(("glm",)), k=3))
+
+
+@query("m27_random_label", f"""
+SELECT o_orderkey AS hhid, CAST({sql_key('o_orderkey', 7)} >= 1073741824 AS INTEGER) AS label FROM orders""")
+def random_label(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("hhid"), sampling.random_label(
+        F.col("o_orderkey"), 7, fc.arithmetic_key).alias("label"))
+
+
+@query("m27_random_label_probe")
+def random_label_probe(spark, sf):
+    from panelspark.plans.experiment import random_label_probe as probe
+
+    return probe(document_design(spark, sf), quick_settings(("glm",)), (42,))
+
+
+@query("m28_gap_probe")
+def gap_probe(spark, sf):
+    from panelspark.plans.experiment import gap_probe as probe
+
+    return probe(document_design(spark, sf), quick_settings(), (42,))
+
+
+@query("m29_fit_full")
+def fit_full(spark, sf):
+    from panelspark.plans.experiment import fit_full as full
+
+    prepared, model = full(document_design(spark, sf), quick_settings())
+    return model.transform(prepared.table).select("doc_id", "cluster_label", "prediction",
+                                                  F.col("probability")[1].alias("probability"))
