@@ -94,7 +94,8 @@ def coalition_design(m: int, budget: int, seed: int = 42) -> tuple[np.ndarray, n
     left, open_from = budget, 0
     for at, s in enumerate(sizes):
         count = comb(m, s) * (1 if 2 * s == m else 2)
-        if count > left * mass[at] / mass[at:].sum() + 1e-9:
+        # Single columns and their complements are always listed if they fit: they keep the fit solvable.
+        if count > (left if at == 0 else left * mass[at] / mass[at:].sum() + 1e-9):
             break
         for subset in combinations(range(m), s):
             each = mass[at] / count

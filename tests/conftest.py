@@ -17,4 +17,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf():
-    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
