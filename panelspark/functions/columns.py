@@ -6,34 +6,46 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType, NumericType
 
 
-def to_number(col: Column) -> Column:
-    """DOUBLE value of anything; what does not parse, and NaN, is NULL."""
+def to_number(col: Column, dtype: DataType | None = None) -> Column:
+    """DOUBLE value of anything; what does not parse, and NaN, is NULL.
+
+    With a known numeric `dtype` no text is parsed.
+    """
+    if isinstance(dtype, (FloatType, DoubleType)):
+        return F.when(~F.isnan(col), col.cast("double"))
+    if isinstance(dtype, NumericType):
+        return col.cast("double")
     number = F.trim(col.cast("string")).try_cast("double")
     return F.when(~F.isnan(number), number)
 
 
-def truncated_code(col: Column) -> Column:
+def truncated_code(col: Column, dtype: DataType | None = None) -> Column:
     """Integer code, cut toward zero."""
-    return to_number(col).try_cast("bigint")
+    if isinstance(dtype, IntegralType):
+        return col.cast("bigint")
+    return to_number(col, dtype).try_cast("bigint")
 
 
-def rounded_code(col: Column) -> Column:
+def rounded_code(col: Column, dtype: DataType | None = None) -> Column:
     """Integer code, rounded half to even."""
-    return F.bround(to_number(col), 0).try_cast("bigint")
+    if isinstance(dtype, IntegralType):
+        return col.cast("bigint")
+    return F.bround(to_number(col, dtype), 0).try_cast("bigint")
 
 
 def _lookup(mapping: Mapping) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 
 
-def recode(col: Column, codes: Mapping[int, int], text: bool = False) -> Column:
+def recode(col: Column, codes: Mapping[int, int], text: bool = False, dtype: DataType | None = None) -> Column:
     """Map integer codes; unlisted codes keep their integer, text that is no number stays.
 
     `text=True` returns strings, so that non-numeric answers survive.
     """
-    code = truncated_code(col)
+    code = truncated_code(col, dtype)
     mapped = code
     if codes:
         table = F.create_map(*[F.lit(x).cast("bigint") for pair in codes.items() for x in pair])

@@ -62,7 +62,7 @@ def head_rows(members: DataFrame, key: str, member: str, order_by: Sequence[str]
     The head is the member numbered `head_value`, else the first row in order.
     All rows count towards the size, not only the head's.
     """
-    is_head = F.coalesce(to_number(F.col(member)) == head_value, F.lit(False))
+    is_head = F.coalesce(to_number(F.col(member), members.schema[member].dataType) == head_value, F.lit(False))
     order = ([F.when(is_head, 0).otherwise(1)] if heads_only else []) + [F.col(c) for c in order_by]
     aggs = [_least_row(order, payload).alias("_first")]
     if size_name:

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from panelspark.functions.columns import to_number, truncated_code
 from panelspark.runtime import bounded_rows
 
 
-def _code_text(column):
+def _code_text(df: DataFrame, name: str) -> Column:
     """Codes as text, integers without decimals, so that names agree between waves."""
-    return F.coalesce(truncated_code(column).cast("string"), column.cast("string"))
+    column, dtype = F.col(name), df.schema[name].dataType
+    code = truncated_code(column, dtype).cast("string")
+    return code if isinstance(dtype, NumericType) else F.coalesce(code, column.cast("string"))
+
+
+def _is_code(df: DataFrame, name: str, value: str) -> Column:
+    """Whether a row gave this code; NULL where it gave none."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, NumericType):
+        return truncated_code(F.col(name), dtype) == int(value)
+    return _code_text(df, name) == value
 
 
 def categories(df: DataFrame, columns: Sequence[str], limit: int = 10_000) -> dict[str, list[str]]:
@@ -23,7 +34,7 @@ def categories(df: DataFrame, columns: Sequence[str], limit: int = 10_000) -> di
     """
     if not columns:
         return {}
-    long = df.select(*[_code_text(F.col(c)).alias(c) for c in columns]).unpivot([], list(columns), "feature", "code")
+    long = df.select(*[_code_text(df, c).alias(c) for c in columns]).unpivot([], list(columns), "feature", "code")
     rows = bounded_rows(long.where("code is not null").distinct(), limit, "The set of category codes")
     found: dict[str, list[str]] = {c: [] for c in columns}
     for row in rows:
@@ -45,11 +56,10 @@ def dummy_names(cats: Mapping[str, Sequence[str]], drop_first: bool = False) ->
 def design_matrix(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], cats: Mapping[str, Sequence[str]],
                   drop_first: bool = False) -> DataFrame:
     """Numeric columns, then one 0/1 column per code; a missing answer is missing in all its columns."""
-    columns = [to_number(F.col(c)).alias(c) for c in numeric]
+    columns = [to_number(F.col(c), df.schema[c].dataType).alias(c) for c in numeric]
     for feature, codes in cats.items():
-        code = _code_text(F.col(feature))
         for value in codes[1 if drop_first else 0:]:
-            columns.append((code == value).cast("double").alias(f"{feature}_{value}"))
+            columns.append(_is_code(df, feature, value).cast("double").alias(f"{feature}_{value}"))
     return df.select(*keys, *columns)
 
 

@@ -27,11 +27,39 @@ def owner_feature(column: Column, features: Sequence[str]) -> Column:
     return column if rule is None else rule.otherwise(column)
 
 
-def by_feature(attribution: DataFrame, features: Sequence[str], keys: Sequence[str] = ("hhid", "wave", "zone"),
-               phi: str = "phi") -> DataFrame:
-    """Importance per household and feature: the sum of |phi| over the feature's columns."""
+def owned_columns(columns: Sequence[str], features: Sequence[str]) -> dict[str, list[str]]:
+    """Design columns of each feature, by the same longest-prefix rule."""
+    owned: dict[str, list[str]] = {}
+    for c in columns:
+        fits = [f for f in features if c == f or c.startswith(f"{f}_")]
+        owned.setdefault(max(fits, key=len) if fits else c, []).append(c)
+    return owned
+
+
+def to_long(attribution: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """A table with one attribution column per design column as `(keys, column, phi)`."""
+    return attribution.select(*keys, *[f"`{c}`" for c in columns]).unpivot(list(keys), list(columns), "column", "phi")
+
+
+def by_feature(attribution: DataFrame, columns: Sequence[str], features: Sequence[str],
+               keys: Sequence[str] = ("hhid", "wave", "zone")) -> DataFrame:
+    """Importance `(keys, feature, importance)`: the sum of |phi| over each feature's columns.
+
+    `attribution` has one row per household, so the sums stay inside the row.
+    """
+    owned = owned_columns(columns, features)
+    sums = []
+    for f, members in owned.items():
+        parts = [F.abs(F.col(f"`{c}`")) for c in members]
+        sums.append(sum(parts[1:], parts[0]).alias(f))
+    return attribution.select(*keys, *sums).unpivot(list(keys), list(owned), "feature", "importance")
+
+
+def by_feature_long(attribution: DataFrame, features: Sequence[str],
+                    keys: Sequence[str] = ("hhid", "wave", "zone")) -> DataFrame:
+    """The same from a stored long table."""
     owned = attribution.withColumn("feature", owner_feature(F.col("column"), features))
-    return owned.groupBy(*keys, "feature").agg(F.sum(F.abs(phi)).alias("importance"))
+    return owned.groupBy(*keys, "feature").agg(F.sum(F.abs("phi")).alias("importance"))
 
 
 # ---- background ------------------------------------------------------------
@@ -158,7 +186,7 @@ def base_value(spark, background: Background, score: Callable[[DataFrame, str],
 def kernel_shap(foreground: DataFrame, keys: Sequence[str], columns: Sequence[str], background: Background,
                 score: Callable[[DataFrame, str], DataFrame], nsamples: int = 500,
                 seed: int = 42) -> tuple[DataFrame, float]:
-    """Attributions `(keys, column, phi)` of every household, and the base value.
+    """One attribution column per design column for every household, and the base value.
 
     All households share one coalition design, so that solving is one fixed
     linear map. With every coalition in the design the values are exact Shapley
@@ -189,14 +217,9 @@ def kernel_shap(foreground: DataFrame, keys: Sequence[str], columns: Sequence[st
 
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("s", "v"))), lambda x: x["v"])
     solved = values.groupBy(*keys).agg(ordered.alias("_v")).select(*keys, attribute("_v").alias("_phi"))
-    names = F.array(*[F.lit(c) for c in moving])
-    long = solved.select(*keys, F.explode(F.arrays_zip(names.alias("column"), F.col("_phi").alias("phi"))).alias("_e"))
-    out = long.select(*keys, "_e.column", "_e.phi")
-    if fixed:
-        zero = foreground.select(*keys, F.explode(F.array(*[F.lit(c) for c in fixed])).alias("column"),
-                                 F.lit(0.0).alias("phi"))
-        out = out.unionByName(zero)
-    return out, base
+    place = {c: i for i, c in enumerate(moving)}
+    wide = [F.col("_phi")[place[c]].alias(c) if c in place else F.lit(0.0).alias(c) for c in columns]
+    return solved.select(*keys, *wide), base
 
 
 def exact_shapley(df: DataFrame, keys: Sequence[str], columns: Sequence[str], background: Background,
@@ -219,7 +242,7 @@ def exact_shapley(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ba
         terms = [F.lit(factorial(len(s)) * factorial(m - len(s) - 1) / factorial(m))
                  * (F.col(named[s | {j}]) - F.col(named[s])) for s in subsets if j not in s]
         phi.append(sum(terms[1:], terms[0]).alias(c))
-    return scored.select(*keys, *phi).unpivot(list(keys), list(columns), "column", "phi")
+    return scored.select(*keys, *phi)
 
 
 def expression_score(columns: Sequence[str], score: Callable[[Mapping[str, Column]], Column]):

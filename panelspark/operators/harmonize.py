@@ -12,7 +12,7 @@ from panelspark.functions.columns import recode, truncated_code
 
 def harmonize(df: DataFrame, codes: Mapping[str, Mapping[int, int]], text: bool = False) -> DataFrame:
     """Recode the features listed for one wave; all other columns are left alone."""
-    found = {f: recode(F.col(f), m, text) for f, m in codes.items() if f in df.columns}
+    found = {f: recode(F.col(f), m, text, df.schema[f].dataType) for f, m in codes.items() if f in df.columns}
     return df.withColumns(found) if found else df
 
 
@@ -26,7 +26,7 @@ def harmonize_waves(df: DataFrame, crosswalk: Mapping[int, Mapping[str, Mapping[
         rule = None
         for w, features in crosswalk.items():
             if feature in features:
-                step = recode(col, features[feature], text)
+                step = recode(col, features[feature], text, df.schema[feature].dataType)
                 rule = F.when(F.col(wave) == w, step) if rule is None else rule.when(F.col(wave) == w, step)
         if rule is not None:
             changed[feature] = rule.otherwise(keep)
@@ -35,7 +35,7 @@ def harmonize_waves(df: DataFrame, crosswalk: Mapping[int, Mapping[str, Mapping[
 
 def harmonize_long(df: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Recode a long `(wave, feature, code)` table by a crosswalk table of any size."""
-    found = df.withColumn("_code", truncated_code(F.col("code"))).join(
+    found = df.withColumn("_code", truncated_code(F.col("code"), df.schema["code"].dataType)).join(
         crosswalk.select("wave", "feature", F.col("code_from").alias("_code"), "code_to"),
         ["wave", "feature", "_code"], "left")
     return found.withColumn("code", F.coalesce("code_to", "_code")).drop("_code", "code_to")

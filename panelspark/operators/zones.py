@@ -17,7 +17,7 @@ def attach_zone(df: DataFrame, zones: DataFrame, code: str, excluded: Sequence[s
     while it is small and shuffles it when it is not.
     """
     keep = zones.where(~F.col("zone").isin(*excluded)) if excluded else zones
-    joined = df.withColumn("_code", rounded_code(F.col(code)))
+    joined = df.withColumn("_code", rounded_code(F.col(code), df.schema[code].dataType))
     return joined.join(keep.withColumn("_code", F.col("region_code").cast("bigint")).drop("region_code"),
                        "_code", "left").drop("_code")
 
@@ -44,6 +44,6 @@ def zone_counts(households: DataFrame, explained: DataFrame, zones: DataFrame) -
 def uncovered_codes(df: DataFrame, code: str, zones: DataFrame) -> DataFrame:
     """Distinct codes in the data that no zone claims, with their row counts."""
     counted = (df.where(F.col(code).isNotNull())
-               .groupBy(rounded_code(F.col(code)).alias("region_code")).agg(F.count(F.lit(1)).alias("n")))
+               .groupBy(rounded_code(F.col(code), df.schema[code].dataType).alias("region_code")).agg(F.count(F.lit(1)).alias("n")))
     return counted.join(zones.select(F.col("region_code").cast("bigint").alias("region_code")),
                         "region_code", "left_anti")

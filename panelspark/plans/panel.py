@@ -159,18 +159,28 @@ def design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return design_matrix(features(spark, sf_dir), ["hhid", "wave", "zone"], NUMERIC, code_lists())
 
 
-def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long `(hhid, wave, zone, column, phi)`: the exact attribution of a linear score.
+def attribution_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact attribution of a linear score, one column per design column.
 
     Each column gets its weight times the distance from the wave's mean; a
     missing answer counts as the mean.
     """
     x = design(spark, sf_dir)
     weights = score_weights()
-    means = x.groupBy("wave").agg(*[F.avg(c).alias(f"m_{c}") for c in weights])
     phi = [F.coalesce((F.col(c) - F.col(f"m_{c}")) * w, F.lit(0.0)).alias(c) for c, w in weights.items()]
-    return x.join(means, "wave").select("hhid", "wave", "zone", *phi).unpivot(
-        ["hhid", "wave", "zone"], list(weights), "column", "phi")
+    return x.join(wave_means(x), "wave").select("hhid", "wave", "zone", *phi)
+
+
+def wave_means(x: DataFrame) -> DataFrame:
+    """Mean of each design column per wave: one row per wave, so it is broadcast."""
+    return F.broadcast(x.groupBy("wave").agg(*[F.avg(c).alias(f"m_{c}") for c in score_weights()]))
+
+
+def linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a long table `(hhid, wave, zone, column, phi)`."""
+    from panelspark.operators.explain import to_long
+
+    return to_long(attribution_wide(spark, sf_dir), ["hhid", "wave", "zone"], list(score_weights()))
 
 
 def _sql_design() -> str:

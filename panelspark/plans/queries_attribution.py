@@ -73,8 +73,8 @@ _SQL_SHAPLEY = " UNION ALL ".join(
 @query("e4_exact_shapley", with_sql(_SQL_SHAPLEY, _SQL_PRICE))
 def exact_shapley(spark, sf):
     heads = _price_heads(spark, sf)
-    return explain.exact_shapley(heads, ["hhid"], _PRICE, _price_background(heads), price_score).withColumn(
-        "phi", r6(F.col("phi")))
+    phi = explain.exact_shapley(heads, ["hhid"], _PRICE, _price_background(heads), price_score)
+    return explain.to_long(phi, ["hhid"], _PRICE).withColumn("phi", r6(F.col("phi")))
 
 
 @query("e3_kernel_shap", with_sql(_SQL_SHAPLEY, _SQL_PRICE))
@@ -82,7 +82,7 @@ def kernel_shap(spark, sf):
     heads = _price_heads(spark, sf)
     phi, _ = explain.kernel_shap(heads, ["hhid"], _PRICE, _price_background(heads),
                                  explain.expression_score(_PRICE, price_score))
-    return phi.withColumn("phi", r6(F.col("phi")))
+    return explain.to_long(phi, ["hhid"], _PRICE).withColumn("phi", r6(F.col("phi")))
 
 
 @query("j10_coalition_values", with_sql("""
@@ -226,4 +226,4 @@ def model_attribution(spark, sf):
     background = explain.summarise_background(rows, columns, 10)
     picked = sample_per_group(rows, "doc_id", "lang", 30, 42)
     phi, base = explain.kernel_shap(picked, ["doc_id"], columns, background, model.score(1), 100)
-    return phi.withColumn("base", F.lit(base))
+    return explain.to_long(phi, ["doc_id"], columns).withColumn("base", F.lit(base))

@@ -74,10 +74,9 @@ def _scores(spark, sf):
     """Linear score of each household, a missing answer counted as the wave's mean, and the wave's base."""
     x = panel.design(spark, sf)
     weights = panel.score_weights()
-    means = x.groupBy("wave").agg(*[F.avg(c).alias(f"m_{c}") for c in weights])
     total = sum((F.coalesce(F.col(c), F.col(f"m_{c}")) * w for c, w in weights.items()), F.lit(0.0))
     base = sum((F.col(f"m_{c}") * w for c, w in weights.items()), F.lit(0.0))
-    return x.join(means, "wave").select("hhid", "wave", base.alias("base"), total.alias("score"))
+    return x.join(panel.wave_means(x), "wave").select("hhid", "wave", base.alias("base"), total.alias("score"))
 
 
 @query("q5_additivity", with_sql("""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark import spec
 from panelspark.functions import columns as fc
 from panelspark.operators import assemble, drift, encode, harmonize, sampling, zones
-from panelspark.operators.explain import by_feature, owner_feature
+from panelspark.operators.explain import by_feature, by_feature_long, owner_feature
 from panelspark.plans import panel
 from panelspark.plans.panel import sql_key, table, with_sql
 from panelspark.plans.registry import query
@@ -25,7 +25,7 @@ def r6(col):
 
 
 def importance(spark, sf):
-    return by_feature(panel.linear_attribution(spark, sf), FEATURES)
+    return by_feature(panel.attribution_wide(spark, sf), list(panel.score_weights()), FEATURES)
 
 
 def zone_table(spark, sf):
@@ -378,7 +378,8 @@ def zone_feature_means(spark, sf):
 @query("a3_sum_dummies", with_sql(
     "SELECT hhid, feature, round(importance, 6) + 0.0 AS importance FROM byf", IMP))
 def sum_dummies(spark, sf):
-    return importance(spark, sf).select("hhid", "feature", r6(F.col("importance")).alias("importance"))
+    summed = by_feature_long(panel.linear_attribution(spark, sf), FEATURES, ["hhid"])
+    return summed.select("hhid", "feature", r6(F.col("importance")).alias("importance"))
 
 
 @query("a4_value_counts", with_sql("""

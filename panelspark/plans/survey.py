@@ -62,7 +62,7 @@ def explain_households(households: DataFrame, zone_dim: DataFrame, settings: spe
     score = model.score(a.explain_class)
     phi, base = explain.kernel_shap(picked, [key, "zone"], columns, background, score, a.nsamples, a.seed)
     phi = cut_lineage(phi)
-    by_feature = explain.by_feature(phi, spec.feature_names(), [key, "zone"])
+    by_feature = explain.by_feature(phi, columns, spec.feature_names(), [key, "zone"])
     zone_means = drift.zone_means(by_feature, by=["zone"])
     listed = zones.zone_list(zone_dim)
     scored = score(picked.withColumn("_x", F.array(*[F.col(f"`{c}`") for c in columns])), "_x").select(
@@ -72,7 +72,7 @@ def explain_households(households: DataFrame, zone_dim: DataFrame, settings: spe
            "background_size": a.background_size, "include_islands": a.include_islands,
            "explain_class": a.explain_class, "n_explained": n_explained, "expected_value": base}
     return {
-        "attribution": phi, "by_feature": by_feature, "scores": scored,
+        "attribution": explain.to_long(phi, [key, "zone"], columns), "by_feature": by_feature, "scores": scored,
         "zone_x_feature": zone_means, "zone_x_feature_no_geo": drift.without_features(zone_means),
         "zone_sample_sizes": zones.zone_counts(rows, picked, listed),
         "cluster_sizes": drift.value_counts(rows, "cluster_label"),

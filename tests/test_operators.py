@@ -185,17 +185,19 @@ def test_owner_feature(spark):
     df = spark.createDataFrame([("a",), ("a_1",), ("a_b_1",), ("z_9",), ("ab_1",)], "c string")
     got = [r[0] for r in df.select(explain.owner_feature(F.col("c"), ["a", "a_b"])).collect()]
     assert got == ["a", "a", "a_b", "z_9", "ab_1"]
+    assert explain.owned_columns(["a", "a_1", "a_b_1", "z_9", "ab_1"], ["a", "a_b"]) == {
+        "a": ["a", "a_1"], "a_b": ["a_b_1"], "z_9": ["z_9"], "ab_1": ["ab_1"]}
 
 
 def test_shapley_closed_form(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, b double")
     background = explain.Background(((1.0, 1.0),), (1.0,))
     score = lambda c: c["a"] + 2 * c["b"] + c["a"] * c["b"]
-    exact = {r["column"]: r["phi"] for r in explain.exact_shapley(df, ["id"], ["a", "b"], background, score).collect()}
-    assert exact == {"a": pytest.approx(3.0), "b": pytest.approx(7.0)}
+    exact = explain.exact_shapley(df, ["id"], ["a", "b"], background, score).first()
+    assert (exact["a"], exact["b"]) == (pytest.approx(3.0), pytest.approx(7.0))
     phi, base = explain.kernel_shap(df, ["id"], ["a", "b"], background, explain.expression_score(["a", "b"], score))
     assert base == 4.0
-    assert {r["column"]: r["phi"] for r in phi.collect()} == {"a": pytest.approx(3.0), "b": pytest.approx(7.0)}
+    assert [tuple(r) for r in phi.collect()] == [(1, pytest.approx(3.0), pytest.approx(7.0))]
 
 
 def test_kernel_shap_sampled_and_fixed_columns(spark):
@@ -209,7 +211,7 @@ def test_kernel_shap_sampled_and_fixed_columns(spark):
     weights = np.arange(12) - 4.0
     score = explain.expression_score(cols, lambda c: sum((c[n] * float(w) for n, w in zip(cols, weights)), F.lit(0.0)))
     phi, base = explain.kernel_shap(df, ["id"], cols, background, score, nsamples=120)
-    rows = {(r["id"], r["column"]): r["phi"] for r in phi.collect()}
+    rows = {(r["id"], r["column"]): r["phi"] for r in explain.to_long(phi, ["id"], cols).collect()}
     assert len(rows) == 36
     # The weighted fit is exact for a linear score, whatever coalitions were drawn.
     mean = np.array([0.75] * 11 + [1.0])
