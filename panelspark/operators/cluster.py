@@ -73,14 +73,18 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10,
 
 
 def choose_k(df: DataFrame, columns: Sequence[str], candidates: Sequence[int] = (2, 3, 4, 5), n_init: int = 10,
-             seed: int = 42) -> tuple[int, dict[int, float]]:
-    """The candidate K with the best silhouette; K below 2 or not below the row count is skipped."""
+             seed: int = 42, exact: bool = True) -> tuple[int, dict[int, float]]:
+    """The candidate K with the best silhouette; K below 2 or not below the row count is skipped.
+
+    `exact=False` ranks by the squared-Euclidean silhouette, which is linear in the rows.
+    """
     n = df.count()
     scores = {}
     for k in candidates:
         if 2 <= k < n:
             labelled = fit_kmeans(df, columns, k, n_init, seed).assign(df)
-            scores[k] = silhouette(labelled, columns, "label").first()["silhouette"]
+            scores[k] = (silhouette(labelled, columns, "label").first()["silhouette"] if exact
+                         else squared_silhouette(labelled, columns, "label"))
     if not scores:
         raise ValueError(f"No K in {tuple(candidates)} fits {n} rows.")
     return max(scores, key=lambda k: scores[k]), scores
@@ -126,7 +130,7 @@ def silhouette_points(df: DataFrame, columns: Sequence[str], label: str, block_r
         _block_distances, "pid string, other int, dsum double").groupBy("pid", "other").agg(F.sum("dsum").alias("dsum"))
     sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.sum("w").alias("n_other"))
     own = F.col("other") == F.col("cluster")
-    gathered = sums.join(points.select("pid", "cluster", "w"), "pid").join(sizes, "other").groupBy(
+    gathered = sums.join(points.select("pid", "cluster", "w"), "pid").join(F.broadcast(sizes), "other").groupBy(
         "pid", "cluster", "w").agg(
         F.max(F.when(own, F.col("n_other"))).alias("n"),
         F.max(F.when(own & (F.col("n_other") > 1), F.col("dsum") / (F.col("n_other") - 1))).alias("a"),
@@ -178,7 +182,8 @@ def calinski_harabasz(df: DataFrame, columns: Sequence[str], label: str) -> Data
 
 def davies_bouldin(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / centre distance."""
-    centers = _cluster_moments(df, columns, label).select("cluster", "center")
+    # One row per cluster.
+    centers = F.broadcast(_cluster_moments(df, columns, label).select("cluster", "center"))
     gap = F.sqrt(F.aggregate(F.zip_with(vector_column(columns), F.col("center"), lambda a, b: (a - b) * (a - b)),
                              F.lit(0.0), lambda acc, x: acc + x))
     spread = df.withColumn("cluster", F.col(label)).join(centers, "cluster").groupBy("cluster", "center").agg(

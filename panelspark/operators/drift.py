@@ -108,8 +108,9 @@ def zone_counts_by_wave(households: DataFrame, waves: Sequence[int]) -> DataFram
 
 def distribution(by_feature: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
     """Household-level rows of the n leading features."""
+    # At most n rows.
     lead = ranks.where(F.col("position") <= n).select("feature")
-    return by_feature.join(lead, "feature", "left_semi")
+    return by_feature.join(F.broadcast(lead), "feature", "left_semi")
 
 
 def zone_summary(zone_table: DataFrame, counts: DataFrame, zones: Sequence[str], k: int = 5) -> DataFrame:

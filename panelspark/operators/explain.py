@@ -167,6 +167,10 @@ def coalition_values(foreground: DataFrame, keys: Sequence[str], values: str, ba
     mean over the background combines before the shuffle.
     """
     spark = foreground.sparkSession
+    # One shuffle of the narrow rows; both later groupings reuse its partitioning, and a stated
+    # count keeps a small foreground spread over many tasks for the scoring.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    foreground = foreground.select(*keys, values).repartition(parts, *keys)
     design = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(masks)], "s int, mask array<boolean>")
     kept = F.zip_with(F.col(values), F.col("mask"), lambda x, m: F.when(m, x))
     rows = foreground.select(*keys, values, F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("s"))

@@ -26,21 +26,19 @@ def ranked(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), slices: i
     """
     drawn = df.withColumn("_draw", key_fn(F.col(key), seed)).withColumn(
         "_slice", F.floor(F.col("_draw") / F.lit(KEY_RANGE / slices)).cast("int"))
-    by = list(by)
-    totals = drawn.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # Groups as text, so that a missing group joins like any other and the partitioning is reused.
+    groups = {f"_g{i}": F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for i, c in enumerate(by)}
+    drawn = drawn.withColumns(groups) if groups else drawn
+    keys = [*groups, "_slice"]
+    totals = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # The offsets table has at most slices x groups rows.
-    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_slice").alias("_s"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                            F.sum("_n").over(Window.partitionBy(*by)).alias("draw_total"))
-    inner = drawn.withColumn("_rn", F.row_number().over(
-        Window.partitionBy(*by, "_slice").orderBy("_draw", key)))
-    on = F.col("_slice") == F.col("_s")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    joined = inner.join(offsets, on)
-    return joined.withColumn("draw_rank", (F.col("_offset") + F.col("_rn")).cast("bigint")).drop(
-        "_draw", "_slice", "_rn", "_s", "_offset", *[f"_g_{c}" for c in by])
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_n").over(Window.partitionBy(*groups)).alias("draw_total"))
+    inner = drawn.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy("_draw", key)))
+    joined = inner.join(offsets, keys)
+    return joined.withColumn("draw_rank", (F.col("_offset") + F.col("_rn")).cast("bigint")).select(
+        *df.columns, "draw_rank", "draw_total")
 
 
 def split(df: DataFrame, key: str, seed: int, test_size: float = 0.3, stratify: str | None = None,

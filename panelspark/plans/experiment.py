@@ -66,16 +66,24 @@ def prepare(design: Design, rows: DataFrame, settings: Settings, seed: int) -> P
     placed = reducer.transform(filled)
     k = s.cluster.n_clusters
     if s.cluster.auto_select_k:
-        k, _ = cluster.choose_k(placed.where(train), reducer.outputs, s.cluster.k_search_range, s.cluster.n_init, seed)
+        k, _ = cluster.choose_k(placed.where(train), reducer.outputs, s.cluster.k_search_range, s.cluster.n_init, seed,
+                                s.cluster.exact_silhouette)
     clusters = cluster.fit_kmeans(placed.where(train), reducer.outputs, k, s.cluster.n_init, seed,
                                   by_norm=s.cluster.order_labels_by_norm)
     return Prepared(cut_lineage(clusters.assign(placed, "cluster_label")), reducer, clusters)
 
 
-def cluster_quality(table: DataFrame, columns: Sequence[str], label: str = "cluster_label") -> DataFrame:
-    """The three validity indices as one row."""
+def cluster_quality(table: DataFrame, columns: Sequence[str], label: str = "cluster_label",
+                    exact: bool = True) -> DataFrame:
+    """The three validity indices as one row.
+
+    The exact silhouette compares all distinct points; with `exact=False` the
+    linear squared-Euclidean one takes its place under its own name.
+    """
+    silhouette = (cluster.silhouette(table, columns, label).scalar().alias("silhouette") if exact else
+                  F.lit(cluster.squared_silhouette(table, columns, label)).alias("silhouette_squared"))
     return table.sparkSession.range(1).select(
-        cluster.silhouette(table, columns, label).scalar().alias("silhouette"),
+        silhouette,
         cluster.calinski_harabasz(table, columns, label).scalar().alias("calinski_harabasz"),
         cluster.davies_bouldin(table, columns, label).scalar().alias("davies_bouldin"))
 
@@ -123,7 +131,7 @@ def run_seed(design: Design, settings: Settings, seed: int, quality: bool = True
     values = score(scored, "truth", model.n_classes)
     if quality and len(prepared.clusters.centers) > 1:
         values = values.unionByName(_long(cluster_quality(
-            table.where("not is_test"), prepared.reducer.outputs)))
+            table.where("not is_test"), prepared.reducer.outputs, exact=settings.cluster.exact_silhouette)))
     cells = metrics.confusion(scored.where("is_test"), "truth", "prediction")
     tag = F.lit(seed).alias("seed")
     return SeedResult(cut_lineage(values.select(tag, "metric", "value")), cells.select(tag, "*"),

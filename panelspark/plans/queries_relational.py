@@ -429,7 +429,8 @@ SELECT feature, round(max(abs(importance - m)), 6) + 0.0 AS max_dev, round(avg(a
 FROM byf JOIN (SELECT feature, avg(importance) AS m FROM byf GROUP BY 1) USING (feature) GROUP BY feature""", IMP))
 def deviation(spark, sf):
     rows = importance(spark, sf)
-    centre = rows.groupBy("feature").agg(F.avg("importance").alias("m"))
+    # One row per feature of the registry.
+    centre = F.broadcast(rows.groupBy("feature").agg(F.avg("importance").alias("m")))
     dev = F.abs(F.col("importance") - F.col("m"))
     return rows.join(centre, "feature").groupBy("feature").agg(
         r6(F.max(dev)).alias("max_dev"), r6(F.avg(dev)).alias("mean_dev"))
