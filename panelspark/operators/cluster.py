@@ -93,20 +93,18 @@ def choose_k(df: DataFrame, columns: Sequence[str], candidates: Sequence[int] =
 def _block_distances(pairs):
     """Distance sums of every left point to each cluster of a right block."""
     for pdf in pairs:
-        for left, right in zip(pdf["left_block"], pdf["right_block"]):
-            x = np.array([r["v"] for r in left], dtype=float)
-            y = np.array([r["v"] for r in right], dtype=float)
-            weight = np.array([r["w"] for r in right], dtype=float)
-            cluster = np.array([r["cluster"] for r in right])
+        for pids, left, weight, cluster, right in zip(*(pdf[c] for c in ("pids", "left", "w", "clusters", "right"))):
+            x = np.asarray(left, dtype=float).reshape(len(pids), -1)
+            y = np.asarray(right, dtype=float).reshape(len(weight), -1)
+            weight, cluster = np.asarray(weight, dtype=float), np.asarray(cluster)
             square = np.zeros((len(x), len(y)))
             for j in range(x.shape[1]):
                 gap = x[:, j, None] - y[None, :, j]
                 square += gap * gap
             weighted = np.sqrt(square, out=square) * weight
             for other in np.unique(cluster):
-                yield pd.DataFrame({
-                    "pid": [r["pid"] for r in left], "other": int(other),
-                    "dsum": weighted[:, cluster == other].sum(axis=1)})
+                yield pd.DataFrame({"pid": pids, "other": int(other),
+                                    "dsum": weighted[:, cluster == other].sum(axis=1)})
 
 
 def silhouette_points(df: DataFrame, columns: Sequence[str], label: str, block_rows: int = 1024) -> DataFrame:
@@ -123,10 +121,10 @@ def silhouette_points(df: DataFrame, columns: Sequence[str], label: str, block_r
     blocks = max(1, -(-points.count() // block_rows))
     packed = points.withColumn("block", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).groupBy("block").agg(
         F.collect_list(F.struct("pid", "cluster", "w", "v")).alias("rows"))
-    left = packed.select(F.col("rows").alias("left_block"),
+    left = packed.select(F.col("rows.pid").alias("pids"), F.flatten("rows.v").alias("left"),
                          F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = packed.select("block", F.col("rows").alias("right_block"))
-    sums = left.join(right, "block").select("left_block", "right_block").mapInPandas(
+    right = packed.select("block", "rows.w", F.col("rows.cluster").alias("clusters"), F.flatten("rows.v").alias("right"))
+    sums = left.join(right, "block").select("pids", "left", "w", "clusters", "right").mapInPandas(
         _block_distances, "pid string, other int, dsum double").groupBy("pid", "other").agg(F.sum("dsum").alias("dsum"))
     sizes = points.groupBy(F.col("cluster").alias("other")).agg(F.sum("w").alias("n_other"))
     own = F.col("other") == F.col("cluster")
