@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import squared_distance
 from panelspark.operators.encode import vector_column
+from panelspark.runtime import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,7 @@ def silhouette_points(df: DataFrame, columns: Sequence[str], label: str, block_r
     points = df.groupBy(F.col(label).cast("int").alias("cluster"), vector_column(columns, "v")).agg(
         F.count(F.lit(1)).alias("w")).withColumn(
         "pid", F.md5(F.concat_ws("|", F.col("cluster").cast("string"), F.col("v").cast("array<string>"))))
-    points = points.cache()
+    points = cut_lineage(points)
     blocks = max(1, -(-points.count() // block_rows))
     packed = points.withColumn("block", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).groupBy("block").agg(
         F.collect_list(F.struct("pid", "cluster", "w", "v")).alias("rows"))

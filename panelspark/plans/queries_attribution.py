@@ -227,3 +227,22 @@ def model_attribution(spark, sf):
     picked = sample_per_group(rows, "doc_id", "lang", 30, 42)
     phi, base = explain.kernel_shap(picked, ["doc_id"], columns, background, model.score(1), 100)
     return explain.to_long(phi, ["doc_id"], columns).withColumn("base", F.lit(base))
+
+
+@query("e3_vector_attribution")
+def vector_attribution(spark, sf):
+    """Cluster membership of vectors explained at the full budget: 500 coalitions, 50 background rows."""
+    from panelspark.operators import cluster
+    from panelspark.operators.ensemble import fit_stack
+    from panelspark.operators.sampling import sample_per_group
+    from panelspark.plans.queries_models import VECTOR, _coordinates, quick_stacking, vectors
+    from panelspark.runtime import cut_lineage
+
+    points, outputs = _coordinates(spark, sf)
+    labels = cluster.fit_kmeans(points, outputs, 2, n_init=2).assign(points, "cluster").select("vec_id", "cluster")
+    rows = cut_lineage(vectors(spark, sf).join(labels, "vec_id"))
+    model = fit_stack(rows, "vec_id", VECTOR, "cluster", quick_stacking(), 42, 2)
+    background = explain.summarise_background(rows, VECTOR, 50)
+    picked = sample_per_group(rows, "vec_id", "label", 21, 42)
+    phi, base = explain.kernel_shap(picked, ["vec_id"], VECTOR, background, model.score(1), 500)
+    return phi.withColumn("base", F.lit(base))
