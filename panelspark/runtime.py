@@ -34,12 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="panelspark-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured)
-    return configured
+    current = sc.getCheckpointDir()
+    if configured:
+        if current is None:
+            sc.setCheckpointDir(configured)
+        return configured
+    if current is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
+        current = sc.getCheckpointDir()
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
