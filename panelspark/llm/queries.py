@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import byte_bpe, hash_tree, length_histogram, quality, url_globs
+from panelspark.llm import byte_bpe, hash_tree, jaccard_join, length_histogram, quality, url_globs
 from panelspark.llm.common import table
 from panelspark.llm.registry import query
 from panelspark.llm import sql
@@ -37,6 +37,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query("op9_partition_jaccard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard_join.link_components(docs, jaccard_join.JaccardRule(words=4, percent=85))
+
+
 @query("op10_length_histogram")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
