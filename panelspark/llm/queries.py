@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import byte_bpe, hash_tree, jaccard_join, length_histogram, quality, url_globs
+from panelspark.llm import byte_bpe, decontaminate, hash_tree, jaccard_join, length_histogram, line_dedup, quality, url_globs
 from panelspark.llm.common import table
 from panelspark.llm.registry import query
 from panelspark.llm import sql
@@ -14,6 +14,12 @@ from panelspark.llm import sql
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+@query("op1_spaced_seeds")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontaminate.mark_leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 @query("op2_adaptive_quality", sql.QUALITY)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
@@ -37,6 +43,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query("op8_line_hashes")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op9_partition_jaccard")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
