@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import byte_bpe, decontaminate, hash_tree, jaccard_join, length_histogram, line_dedup, quality, url_globs
+from panelspark.llm import byte_bpe, decontaminate, hash_tree, jaccard_join, length_histogram, line_dedup, personal, quality, secrets, url_globs
 from panelspark.llm.common import table
 from panelspark.llm.registry import query
 from panelspark.llm import sql
@@ -37,12 +37,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign_shards(table(spark, sf_dir, "documents", "doc_id", "text"), 16)
 
 
+@query("op5_secret_cnn")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+@query("op7_weak_supervision")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return personal.personal_digests(personal.find_personal(docs, personal.fit_spans(docs)))
+
+
 @query("op8_line_hashes")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
