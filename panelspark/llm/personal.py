@@ -92,10 +92,11 @@ def _valid(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end) by kind as listed, then start."""
-    return F.concat(*[
-        F.transform(F.filter(matches(text, *BASE[k]), lambda m, k=k: _valid(k, m["value"])),
-                    lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-        for k in KINDS])
+    def of(kind: str) -> Column:
+        good = F.filter(matches(text, *BASE[kind]), lambda m: _valid(kind, m["value"]))
+        return F.transform(good, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+
+    return F.concat(*map(of, KINDS))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -115,7 +116,7 @@ def _labelers(value: Column, left: Column, right: Column) -> dict[str, Column]:
         "mail_pattern": _vote(mail & value.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"), mail),
         "quad_pattern": _vote(number & quad, number & value.rlike(r"^[0-9]+\.[0-9.]*$")),
         "checksum": F.when(card, F.when(luhn(digits), 1).otherwise(-1)).otherwise(0),
-        "phone_pattern": _vote(number & (value.startswith("+") | value.startswith("(")) & (n >= 9) & (n <= 15), number & ~separated & ~quad),
+        "phone_pattern": _vote(number & (value.startswith("+") | value.startswith("(")) & (n >= 9) & (n <= 15), number & (n < 13) & ~separated & ~quad),
         "domain_gazetteer": _vote(mail & value.rlike(DOMAINS), mail),
         "dialling_gazetteer": _vote(value.rlike(DIALLING)),
         "words_before": _vote(left.rlike(NEAR_YES), left.rlike(NEAR_NO)),
@@ -222,8 +223,11 @@ def personal_digests(found: DataFrame, key: str = "doc_id") -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        key, *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        key, *map(count, KINDS),
         F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "model")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
