@@ -42,8 +42,8 @@ class QualityRules:
     #: signal -> (numerator, denominator, least distance of the limits from the quartiles)
     signals: dict[str, tuple[str, str, int]] = field(default_factory=lambda: {
         "symbols": ("n_symbols", "n_words", 80),
-        "repeats": ("n_repeat_words", "n_words", 100),
-        "dup_lines": ("n_dup_lines", "n_lines", 300),
+        "repeats": ("n_repeat_words", "n_words", 300),
+        "dup_lines": ("n_dup_lines", "n_lines", 500),
         "word_length": ("word_chars", "n_words", 1500),
         "capitals": ("n_capitals", "word_chars", 150),
         "shouts": ("n_shouts", "n_words", 100),
