@@ -113,7 +113,7 @@ def _labelers(value: Column, left: Column, right: Column) -> dict[str, Column]:
     quad = value.rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$")
     card = number & (n >= 13) & (n <= 19) & ~quad
     return {
-        "mail_pattern": _vote(mail & value.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$"), mail),
+        "mail_pattern": _vote(mail & value.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$"), mail),
         "quad_pattern": _vote(number & quad, number & value.rlike(r"^[0-9]+\.[0-9.]*$")),
         "checksum": F.when(card, F.when(luhn(digits), 1).otherwise(-1)).otherwise(0),
         "phone_pattern": _vote(number & (value.startswith("+") | value.startswith("(")) & (n >= 9) & (n <= 15), number & (n < 13) & ~separated & ~quad),
