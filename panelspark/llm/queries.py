@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm import byte_bpe, decontaminate, hash_tree, jaccard_join, length_histogram, line_dedup, personal, quality, secrets, url_globs
-from panelspark.llm.common import table
+from panelspark.llm.common import table, written
 from panelspark.llm.registry import query
 from panelspark.llm import sql
 
@@ -69,4 +69,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counts = byte_bpe.token_counts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return length_histogram.context_totals(length_histogram.length_histogram(counts))
+    return length_histogram.context_totals(written(length_histogram.length_histogram(counts), "length-histogram"))
