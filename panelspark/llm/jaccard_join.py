@@ -99,22 +99,21 @@ def bands(rule: JaccardRule, size: int) -> tuple[tuple[int, int, int], ...]:
 def segments(rule: JaccardRule, hi: int) -> int:
     """Number of segments of least expected cost for the largest sets of a band."""
     need = rule.differ(hi, rule.largest(hi)) + 1
+    spare = min(8, hi // 16)  # signatures that a document can do without
 
     def cost(m: int) -> float:
         s = hi / m
         light = math.exp(-s) * (1 + s)
         mean, deviation = m * (1 - light), math.sqrt(m * light * (1 - light)) + 1e-9
-        short = 0.5 * math.erfc((mean - need + 0.5) / deviation / math.sqrt(2))
+        short = 0.5 * math.erfc((mean - need - spare + 0.5) / deviation / math.sqrt(2))
         return m + short * (hi + m)
 
-    return min(range(need, 2 * need + 8), key=cost)
+    return min(range(need, 2 * need + 16), key=cost)
 
 
-def signatures(rule: JaccardRule, h: np.ndarray) -> np.ndarray:
-    """Signatures of one set of sorted hashes."""
+def signatures(rule: JaccardRule, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Per band of one set of sorted hashes: how many signatures every partner shares at least, and the signatures."""
     n, out = len(h), []
-    if n == 0:
-        return np.empty(0, dtype=_U)
     content = mix(h ^ _U(0xD6E8FEB86659FD93))
     for k, hi, m in bands(rule, n):
         most = rule.differ(n, rule.largest(n) if n <= hi else hi)
@@ -126,62 +125,76 @@ def signatures(rule: JaccardRule, h: np.ndarray) -> np.ndarray:
         sums = np.add.reduceat(content, starts)
         salt = mix(seg[starts] + _U((k + 1) << 40))
         heavy = counts >= 2
-        out.append(mix(sums[heavy] + salt[heavy]))
+        exact = mix(sums[heavy] + salt[heavy])
         covered = int(heavy.sum())
         if covered > most:
+            out.append((covered - most, exact))
             continue
         of = np.repeat(np.arange(len(starts)), counts)
         many = heavy[of]
         near = mix(salt + _U(1))
-        out += [mix(sums + near), mix((sums[of] - content + near[of])[many])]
+        more = [exact, mix(sums + near), mix((sums[of] - content + near[of])[many])]
         if 2 * covered <= most:
             first = n - -(-n * rule.percent // 100) + 1
-            out.append(mix(h[:first] + _U((k + 1) << 40) + _U(2)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=_U)
+            more.append(mix(h[:first] + _U((k + 1) << 40) + _U(2)))
+        out.append((1, np.unique(np.concatenate(more))))
+    return out
 
 
-def _lists(parts: list[np.ndarray], mask: np.ndarray | None = None) -> pa.ListArray:
+def _longs(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     flat = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64), mask=mask))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
+
+
+_BAND = T.StructType([T.StructField("least", T.IntegerType()), T.StructField("sigs", T.ArrayType(T.LongType())),
+                      T.StructField("firsts", T.ArrayType(T.LongType())), T.StructField("followed", T.ArrayType(T.BooleanType()))])
 
 
 def index_sets(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFrame:
-    """id, n_shingles, set_digest (null for an empty set), sigs, and for each of them the id in the batch that had it first."""
+    """id, n_shingles, set_digest (null for an empty set), and its bands: signatures, the id of the batch that had
+    each first (null: this one), and whether others of the batch have it too."""
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()),
-                           T.StructField("set_digest", T.BinaryType()), T.StructField("sigs", longs), T.StructField("firsts", longs)])
+                           T.StructField("set_digest", T.BinaryType()), T.StructField("bands", T.ArrayType(_BAND))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        nothing = np.empty(0, dtype=_U)
         for batch in batches:
             seen: set[bytes] = set()
-            sizes, digests, sigs = [], [], []
+            sizes, digests, of_row, least, parts, owners = [], [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = shingles(t, rule.words)
                 d = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-                fresh = i is not None and d is not None and d not in seen
-                if fresh:
+                made = []
+                if i is not None and d is not None and d not in seen:
                     seen.add(d)
+                    made = signatures(rule, h)
                 sizes.append(len(h))
                 digests.append(d)
-                sigs.append(signatures(rule, h) if fresh else nothing)
-            flat = np.concatenate(sigs) if sigs else nothing
-            owner = np.repeat(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), [len(s) for s in sigs])
+                of_row.append(len(made))
+                for shared, sigs in made:
+                    least.append(shared)
+                    parts.append(sigs)
+                    owners.append(i)
+            lens = [len(p) for p in parts]
+            flat = np.concatenate(parts) if parts else np.empty(0, dtype=_U)
+            owner = np.repeat(np.array(owners, dtype=np.int64), lens)
             order = np.argsort(flat, kind="stable")
-            new = np.concatenate(([True], flat[order[1:]] != flat[order[:-1]])) if len(flat) else np.empty(0, dtype=bool)
-            first = np.empty(len(flat), dtype=np.int64)
-            first[order] = owner[order][np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))] if len(flat) else owner
-            own = np.empty(len(flat), dtype=bool)
+            new = np.ones(len(flat), dtype=bool)
+            new[1:] = flat[order[1:]] != flat[order[:-1]]
+            first, own, followed = np.empty(len(flat), dtype=np.int64), np.empty(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
+            first[order] = owner[order][np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]
             own[order] = new
-            ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-            firsts = pa.ListArray.from_arrays(pa.array(ends), pa.array(first, mask=own))
+            followed[order[:-1]] = new[:-1] & ~new[1:]
+            ends = pa.array(np.cumsum([0, *lens]).astype(np.int32))
+            bands_ = pa.StructArray.from_arrays(
+                [pa.array(least, pa.int32()), _longs(parts), pa.ListArray.from_arrays(ends, pa.array(first, mask=own)),
+                 pa.ListArray.from_arrays(ends, pa.array(followed))], [f.name for f in _BAND])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), _lists(sigs), firsts],
-                schema.names)
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(np.cumsum([0, *of_row]).astype(np.int32)), bands_)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -194,7 +207,7 @@ def set_arrays(docs: DataFrame, ids: DataFrame, rule: JaccardRule, key: str, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, rule.words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _longs(sets)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -210,22 +223,41 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: JaccardRule, key: str, tex
     return pairs.join(one, "x").join(two, "y").select("x", "y", linked.alias("linked"))
 
 
+def shared_postings(index: DataFrame) -> DataFrame:
+    """sig, id and n (set size) of the signatures by which documents are compared.
+
+    A document shares at least `least` signatures of a band with every partner,
+    so it can do without its `least - 1` most frequent ones: of those that two
+    partners share, the rarest is kept by both. Signatures that one document
+    alone has are left out.
+    """
+    bands_ = index.where("size(bands) > 0").select("id", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "b"))
+    postings = bands_.select("id", "n", "band", F.col("b.least").alias("least"), F.explode(
+        F.arrays_zip(F.col("b.sigs").alias("sig"), F.col("b.firsts").alias("first"), F.col("b.followed").alias("followed"))).alias("p"))
+    postings = postings.select("id", "n", "band", "least", "p.sig", "p.first", "p.followed")
+    group = Window.partitionBy("sig")
+    heads = postings.where("first is null").select(
+        "id", "n", "band", "least", "sig", "followed", F.count(F.lit(1)).over(group).alias("often"), F.min("id").over(group).alias("rep"))
+    heads = written(heads.where("often > 1 or followed"), "jaccard-heads")
+    within = postings.where("first is not null").join(heads.where("id = rep").select("sig", "often"), "sig")
+    columns = ["id", "n", "band", "least", "sig", "often"]
+    rank = F.row_number().over(Window.partitionBy("id", "band").orderBy(F.col("often").desc(), "sig"))
+    shared = heads.select(*columns).union(within.select(*columns)).withColumn("rank", rank)
+    return shared.where("rank >= least").select("sig", "id", "n")
+
+
 def link_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles and component_id, the least key that links reach."""
     index = written(index_sets(docs, rule, key, text), "jaccard-index")
     heads = index.where("id is not null and set_digest is not null").groupBy("set_digest").agg(F.min("id").alias("head"))
-    posted = index.where("size(sigs) > 0")
-    postings = posted.select("id", F.explode(F.arrays_zip("sigs", "firsts")).alias("p")).select(
-        "id", F.col("p.sigs").alias("sig"), F.col("p.firsts").alias("first"))
-
-    # every document of a signature against one of them: first within its batch, then over all batches
-    least = F.min("id").over(Window.partitionBy("sig"))
-    across = postings.where("first is null").select("sig", "id", least.alias("rep")).where("id != rep")
-    within = postings.where("first is not null and first != id").select("sig", "id", F.col("first").alias("rep"))
-    stars = across.union(within).select("sig", F.greatest("id", "rep").alias("x"), F.least("id", "rep").alias("y"))
-    stars = written(stars, "jaccard-stars")
+    kept = written(shared_postings(index), "jaccard-postings")
+
+    # every document of a signature against one of them
+    centres = kept.groupBy("sig").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("sig", "rep")
+    stars = written(kept.join(centres, "sig").where("id != rep").select("sig", F.col("id").alias("x"), F.col("rep").alias("y")), "jaccard-stars")
     judged = written(verified(docs, stars.select("x", "y").distinct(), rule, key, text), "jaccard-judged")
-    equal = posted.select("id", "set_digest").join(heads, "set_digest").where("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    equal = index.where("size(bands) > 0").select("id", "set_digest").join(heads, "set_digest").where("id != head").select(
+        F.col("id").alias("a"), F.col("head").alias("b"))
     links = judged.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).union(equal)
     found = connected_components(links)
 
@@ -234,8 +266,7 @@ def link_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), key: str
     apart = _with_component(_with_component(apart, found, "x", "cx"), found, "y", "cy").where("cx != cy").select("x", "y")
     doubtful = written(stars.join(apart, ["x", "y"]).select("sig").distinct(), "jaccard-doubtful")
     if not doubtful.isEmpty():
-        members = postings.join(small(doubtful, BROADCAST_IDS), "sig", "left_semi").select("sig", "id").join(
-            index.select("id", F.col("n_shingles").alias("n")), "id")
+        members = kept.join(small(doubtful, BROADCAST_IDS), "sig", "left_semi").select("sig", "id", "n")
         members = written(_with_component(members, found, "id", "c"), "jaccard-members")
         left = members.select("sig", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
         right = members.select("sig", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
