@@ -15,10 +15,11 @@ that it needs them.
 
 Equal sets are collapsed first, and within a batch of rows a signature leaves
 once, so neither copies nor near copies pile up. Documents that share a
-signature are compared with one of them only, not with each other; documents
-with a signature in common that are still apart afterwards are compared one by
-one. This finds every component without listing all pairs of a group. Candidates
-are verified on their whole sets.
+signature are compared with one of them only, not with each other. Where that
+leaves documents of a signature in different components, they are compared in
+pairs of blocks until they are one component or every pair has been seen. This
+finds every component without a row per pair. Candidates are verified on their
+whole sets.
 
 A document without words or text has an empty set, and is linked with nothing.
 A row with a null key has a null component and takes no part. Repeated rows are
@@ -42,6 +43,8 @@ from panelspark.llm.common import small, written
 from panelspark.llm.components import connected_components
 
 _U = np.uint64
+#: Documents of a signature in a block; two blocks on average this large are compared at once.
+BLOCK_SETS = 512
 #: Ids that may be broadcast to pick the documents of candidates (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -223,6 +226,63 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: JaccardRule, key: str, tex
     return pairs.join(one, "x").join(two, "y").select("x", "y", linked.alias("linked"))
 
 
+def links_in_blocks(docs: DataFrame, members: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFrame:
+    """a, b: links between documents of a signature that lie in different components, enough to join those components.
+
+    The documents of a signature are dealt into blocks of bounded size, and every
+    pair of blocks is compared as a whole, so no pair of documents is a row.
+    """
+    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("one"), F.max("c").alias("other"))
+    groups = groups.where("one < other").select("sig", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("blocks"))
+    members = written(members.join(groups, "sig").select("sig", "id", "c", "blocks"), "jaccard-members")
+    sets = set_arrays(docs, members.select("id").distinct(), rule, key, text)
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", own).select("sig", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("sig", "id", "c", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, parts = group.column("id").to_numpy(), group.column("c").to_numpy()
+        flat = group.column("set").combine_chunks()
+        sets_ = [v.values.to_numpy(zero_copy_only=False).view(_U) for v in flat]
+        found = _links(parts, sets_, rule)
+        return pa.table({"a": ids[[x for x, _ in found]] if found else pa.array([], pa.int64()),
+                         "b": ids[[y for _, y in found]] if found else pa.array([], pa.int64())})
+
+    return dealt.join(sets, "id").groupBy("sig", "low", "high").applyInArrow(compare, schema).distinct()
+
+
+def _links(parts: np.ndarray, sets: list[np.ndarray], rule: JaccardRule) -> list[tuple[int, int]]:
+    """Linked rows of different components, until they are one component or all have been compared."""
+    parent = {int(c): int(c) for c in parts}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = []
+    for x, s in enumerate(sets):
+        lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        lens = hi - lo
+        ends = np.cumsum(lens)
+        with_x = owner[np.repeat(lo - ends + lens, lens) + np.arange(ends[-1])]
+        both = np.bincount(with_x, minlength=len(sets))[:x]
+        linked = np.flatnonzero((100 * both >= rule.percent * (sizes[:x] + sizes[x] - both)) & (both > 0))
+        for y in linked:
+            a, b = root(int(parts[x])), root(int(parts[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((x, int(y)))
+    return out
+
+
 def shared_postings(index: DataFrame) -> DataFrame:
     """sig, id and n (set size) of the signatures by which documents are compared.
 
@@ -261,22 +321,14 @@ def link_components(docs: DataFrame, rule: JaccardRule = JaccardRule(), key: str
     links = judged.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")).union(equal)
     found = connected_components(links)
 
-    # signatures in which a candidate failed and is still apart: their documents one by one
+    # signatures in which a candidate failed and is still apart: their documents in pairs of blocks
     apart = judged.where("not linked").select("x", "y")
     apart = _with_component(_with_component(apart, found, "x", "cx"), found, "y", "cy").where("cx != cy").select("x", "y")
     doubtful = written(stars.join(apart, ["x", "y"]).select("sig").distinct(), "jaccard-doubtful")
     if not doubtful.isEmpty():
-        members = kept.join(small(doubtful, BROADCAST_IDS), "sig", "left_semi").select("sig", "id", "n")
-        members = written(_with_component(members, found, "id", "c"), "jaccard-members")
-        left = members.select("sig", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-        right = members.select("sig", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"))
-        near = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * rule.percent
-        more = left.join(right, "sig").where((F.col("cx") > F.col("cy")) & near).select(
-            F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-        more = written(more.join(judged, ["x", "y"], "left_anti"), "jaccard-more")
-        if not more.isEmpty():
-            again = verified(docs, more, rule, key, text).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-            found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(again))
+        members = _with_component(kept.join(small(doubtful, BROADCAST_IDS), "sig", "left_semi"), found, "id", "c")
+        again = links_in_blocks(docs, members, rule, key, text)
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(again))
 
     placed = index.select("id", "n_shingles", "set_digest").join(heads, "set_digest", "left")
     placed = _with_component(placed, found, "head", "c")
