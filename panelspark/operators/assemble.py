@@ -13,17 +13,12 @@ from panelspark.operators.harmonize import harmonize
 from panelspark.sources.sections import WaveLayout, read_sections, union_waves, wave_layout
 
 
-def resolve_column(canonical: str, layout: WaveLayout) -> str | None:
-    """Name of a canonical column in a wave; None when the wave never asked."""
-    return layout.columns.get(canonical, canonical)
-
-
 def present_columns(columns: Iterable[str], features: Sequence[spec.Feature], layout: WaveLayout) -> dict[str, str]:
     """Wanted columns that exist, as {column in the file: feature name}."""
     available = set(columns)
     found = {}
     for f in features:
-        actual = resolve_column(f.column, layout)
+        actual = layout.columns.get(f.column, f.column)
         if actual is not None and actual in available:
             found[actual] = f.name
     return found
@@ -38,6 +33,15 @@ def first_usable(df: DataFrame, candidates: Sequence[str | None]) -> str | None:
     return next((c for c in existing if seen[c]), None)
 
 
+def _in_number_order(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Order by the number a column holds, and by its text where that is equal or no number; missing values last."""
+    out = []
+    for c in columns:
+        number = to_number(F.col(c), df.schema[c].dataType)
+        out += [number.isNull(), number, F.col(c).isNull(), F.col(c)]
+    return out
+
+
 def _least_row(order: Sequence[Column], payload: Sequence[str]) -> Column:
     parts = [o.alias(f"_o{i}") for i, o in enumerate(order)] + [F.col(c).alias(f"p_{c}") for c in payload]
     return F.min(F.struct(*parts))
@@ -50,7 +54,7 @@ def first_rows(df: DataFrame, key: str, order_by: Sequence[str], payload: Sequen
     share of the rows never lands in one task. Full ties are equal in every
     payload column, since these close the order.
     """
-    picked = df.groupBy(key).agg(_least_row([F.col(c) for c in order_by], payload).alias("_first"))
+    picked = df.groupBy(key).agg(_least_row(_in_number_order(df, order_by), payload).alias("_first"))
     return picked.select(key, *[F.col(f"_first.p_{c}").alias(c) for c in payload])
 
 
@@ -63,7 +67,7 @@ def head_rows(members: DataFrame, key: str, member: str, order_by: Sequence[str]
     All rows count towards the size, not only the head's.
     """
     is_head = F.coalesce(to_number(F.col(member), members.schema[member].dataType) == head_value, F.lit(False))
-    order = ([F.when(is_head, 0).otherwise(1)] if heads_only else []) + [F.col(c) for c in order_by]
+    order = ([F.when(is_head, 0).otherwise(1)] if heads_only else []) + _in_number_order(members, order_by)
     aggs = [_least_row(order, payload).alias("_first")]
     if size_name:
         aggs.insert(0, F.count(F.lit(1)).alias(size_name))

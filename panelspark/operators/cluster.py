@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import squared_distance
 from panelspark.operators.encode import vector_column
-from panelspark.runtime import cut_lineage
+from panelspark.runtime import FIT_PARTITIONS, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -56,8 +56,13 @@ def order_by_column(centers: Sequence[Sequence[float]], column: int) -> list[int
 
 def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
                by_norm: bool = True, max_iter: int = 100, tol: float = 1e-4) -> Clusters:
-    """K-Means with restarts: the start with the least cost is kept."""
-    vectors = df.select(array_to_vector(vector_column(columns)).alias("features")).cache()
+    """K-Means with restarts: the start with the least cost is kept.
+
+    Points are dealt into a fixed number of partitions by value, and sorted in
+    each, so the draws do not depend on how the input was partitioned.
+    """
+    points = df.select(*columns).repartition(FIT_PARTITIONS, *columns).sortWithinPartitions(*columns)
+    vectors = points.select(array_to_vector(vector_column(columns)).alias("features")).cache()
     try:
         best = None
         for start in range(n_init):

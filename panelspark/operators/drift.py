@@ -31,7 +31,7 @@ def overall(zone_table: DataFrame, by: Sequence[str] = ("wave",)) -> DataFrame:
 def value_counts(df: DataFrame, column: str, n: str = "n", share: str = "share") -> DataFrame:
     """Rows per value and their share of all rows."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias(n))
-    return counts.withColumn(share, F.col(n) / counts.agg(F.sum(n)).scalar())
+    return counts.withColumn(share, F.col(n) / F.sum(n).over(Window.partitionBy()))  # one row per value
 
 
 def top_features(zone_table: DataFrame, k: int = 5, by: Sequence[str] = ("wave", "zone")) -> DataFrame:
@@ -64,8 +64,11 @@ def feature_ranks(scores: DataFrame, score: str, name: str = "position") -> Data
 
 def drift_table(overall_table: DataFrame, waves: Sequence[int]) -> DataFrame:
     """Feature x wave importance, ranked by each feature's best wave."""
-    ranks = feature_ranks(best_wave(overall_table), "best")
-    return feature_by_wave(overall_table, waves).join(ranks, "feature").orderBy("position")
+    known = overall_table.where(F.col("wave").isin(*waves))
+    wide = feature_by_wave(known, waves)
+    columns = [F.col(f"w{w}") for w in waves]
+    best = F.greatest(*columns) if len(columns) > 1 else columns[0]
+    return feature_ranks(wide.withColumn("best", best), "best").orderBy("position")
 
 
 def top_and_kept(ranks: DataFrame, n: int, keep: Sequence[str] = spec.HIGHLIGHT_FEATURES) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.encode import vector_column
 from panelspark.operators.sampling import folds
-from panelspark.runtime import cut_lineage
+from panelspark.runtime import FIT_PARTITIONS, cut_lineage
 from panelspark.spec import StackingSettings
 
 
@@ -142,7 +142,8 @@ def fit_stack(df: DataFrame, key: str, columns: Sequence[str], label: str, s: St
     """Out-of-fold stacking: meta learner on held-out probabilities, base learners refitted on all rows."""
     data = df.select(key, F.col(label).cast("int").alias(label),
                      array_to_vector(vector_column(columns)).alias("features"))
-    data = cut_lineage(folds(data, key, seed, s.cv, stratify=label))
+    # Forests, boosting and the network draw per partition: a fixed layout by key makes them repeatable.
+    data = cut_lineage(folds(data, key, seed, s.cv, stratify=label).repartition(FIT_PARTITIONS, key).sortWithinPartitions(key))
     n_rows = data.count()
     if n_classes is None:
         n_classes = int(data.agg(F.max(label)).first()[0]) + 1

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.encode import vector_column
-from panelspark.runtime import bounded_rows
+from panelspark.runtime import FIT_PARTITIONS, bounded_rows
 
 
 def owner_feature(column: Column, features: Sequence[str]) -> Column:
@@ -87,7 +87,7 @@ def background_of(table: DataFrame, columns: Sequence[str], weight: str, limit:
 def summarise_background(df: DataFrame, columns: Sequence[str], size: int = 50, seed: int = 42) -> Background:
     """K-Means centres, each value moved to the nearest observed one, weighted by cluster size."""
     arrays = df.select(vector_column(columns, "x"))
-    vectors = arrays.select(array_to_vector("x").alias("features")).cache()
+    vectors = arrays.repartition(FIT_PARTITIONS, "x").sortWithinPartitions("x").select(array_to_vector("x").alias("features")).cache()
     try:
         model = KMeans(k=size, seed=seed).fit(vectors)
         centers = [c.tolist() for c in model.clusterCenters()]
@@ -112,9 +112,13 @@ def summarise_background(df: DataFrame, columns: Sequence[str], size: int = 50,
 def coalition_design(m: int, budget: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Masks and kernel weights of the coalitions to score.
 
-    Sizes are taken whole from the outside in while the budget covers their
-    share of the kernel mass; the rest is drawn in complementary pairs.
+    Single columns and their complements are always listed: without them the
+    fit has no unique solution. Further sizes are taken whole from the outside
+    in while the budget covers their share of the kernel mass; the rest is drawn
+    in complementary pairs.
     """
+    if m > 1 and budget < (m if m == 2 else 2 * m):
+        raise ValueError(f"{m} columns need at least {2 * m} coalitions; nsamples is {budget}.")
     sizes = list(range(1, m // 2 + 1))
     mass = np.array([(m - 1) / (s * (m - s)) * (1 if 2 * s == m else 2) for s in sizes])
     mass = mass / mass.sum() if len(mass) else mass
@@ -122,8 +126,7 @@ def coalition_design(m: int, budget: int, seed: int = 42) -> tuple[np.ndarray, n
     left, open_from = budget, 0
     for at, s in enumerate(sizes):
         count = comb(m, s) * (1 if 2 * s == m else 2)
-        # Single columns and their complements are always listed if they fit: they keep the fit solvable.
-        if count > (left if at == 0 else left * mass[at] / mass[at:].sum() + 1e-9):
+        if at > 0 and count > left * mass[at] / mass[at:].sum() + 1e-9:
             break
         for subset in combinations(range(m), s):
             each = mass[at] / count
@@ -156,7 +159,10 @@ def _solver(masks: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The linear map from coalition values to all attributions but the last."""
     edges = masks[:, :-1].astype(float) - masks[:, -1:].astype(float)
     weighted = edges.T * weights
-    return np.linalg.pinv(weighted @ edges) @ weighted
+    normal = weighted @ edges
+    if np.linalg.matrix_rank(edges) < edges.shape[1]:
+        raise ValueError("The coalitions do not determine every column; raise nsamples.")
+    return np.linalg.solve(normal, weighted)
 
 
 def coalition_values(foreground: DataFrame, keys: Sequence[str], values: str, background: Background,
@@ -197,6 +203,9 @@ def kernel_shap(foreground: DataFrame, keys: Sequence[str], columns: Sequence[st
     values. A column that never differs from the background gets 0.
     """
     at = {c: i for i, c in enumerate(columns)}
+    gaps = foreground.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for c, i in at.items()]).first()
+    if any(gaps[f"n{i}"] for i in at.values()):
+        raise ValueError(f"Missing answers cannot be explained: {[c for c, i in at.items() if gaps[f'n{i}']]}")
     limits = foreground.agg(*[F.min(f"`{c}`").alias(f"l{i}") for c, i in at.items()],
                             *[F.max(f"`{c}`").alias(f"h{i}") for c, i in at.items()]).first()
     fixed = [c for c, i in at.items() if {limits[f"l{i}"], limits[f"h{i}"]} | {r[i] for r in background.rows}

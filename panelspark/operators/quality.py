@@ -26,8 +26,9 @@ def reaggregation(stored: DataFrame, by_feature: DataFrame, value: str = "import
     """Largest and mean gap per wave between stored zone means and means recomputed from households."""
     fresh = by_feature.where(F.col("zone").isNotNull()).groupBy("wave", "zone", "feature").agg(
         F.avg(value).alias("_fresh"))
-    gap = F.abs(F.col("mean_importance") - F.col("_fresh"))
-    return stored.join(fresh, ["wave", "zone", "feature"]).groupBy("wave").agg(
+    # A cell that only one side has counts as an infinite gap.
+    gap = F.coalesce(F.abs(F.col("mean_importance") - F.col("_fresh")), F.lit(float("inf")))
+    return stored.join(fresh, ["wave", "zone", "feature"], "full").groupBy("wave").agg(
         F.count(F.lit(1)).alias("n_cells"), F.max(gap).alias("max_diff"), F.avg(gap).alias("mean_diff"))
 
 

@@ -12,7 +12,7 @@ from panelspark.operators import cluster, metrics, reduce, sampling
 from panelspark.operators.encode import categories, complete_cases, design_matrix
 from panelspark.operators.ensemble import StackedModel, fit_stack
 from panelspark.operators.impute import knn_impute
-from panelspark.runtime import cut_lineage
+from panelspark.runtime import bounded_rows, cut_lineage
 from panelspark.spec import Settings, feature_names
 
 
@@ -118,12 +118,28 @@ def score(scored: DataFrame, truth: str, n_classes: int) -> DataFrame:
     return _long(metrics.macro_metrics(cells)).unionByName(_long(auc)).unionByName(_long(gap))
 
 
+def classes(table: DataFrame, truth: str, limit: int = 1000) -> list:
+    """The values of an outside label in order; a missing one is an error."""
+    rows = bounded_rows(table.select(truth).distinct().orderBy(truth), limit, f"The label {truth}")
+    if any(r[0] is None for r in rows):
+        raise ValueError(f"The label {truth} is missing for some households.")
+    return [r[0] for r in rows]
+
+
+def _named(df: DataFrame, names: list) -> DataFrame:
+    """Class numbers in `truth`, `predicted` and `label` replaced by the classes they stand for."""
+    values = F.array(*map(F.lit, names))
+    return df.withColumns({c: values[F.col(c).cast("int")] for c in ("truth", "predicted", "label") if c in df.columns})
+
+
 def run_seed(design: Design, settings: Settings, seed: int, quality: bool = True) -> SeedResult:
     """One full run. The target is the outside label if there is one, else the cluster label."""
     rows = sampling.split(design.table, design.key, seed, settings.experiment.test_size, stratify=design.truth)
     prepared = prepare(design, cut_lineage(rows), settings, seed)
-    target = design.truth or "cluster_label"
-    table = prepared.table
+    target, names, table = "cluster_label", None, prepared.table
+    if design.truth:
+        target, names = "_class", classes(design.table, design.truth)
+        table = table.withColumn("_class", (F.array_position(F.array(*map(F.lit, names)), F.col(design.truth)) - 1).cast("int"))
     model = fit_stack(table.where("not is_test"), design.key, classifier_columns(design, prepared, settings), target,
                       settings.stacking, seed)
     scored = cut_lineage(model.transform(table).select(design.key, "is_test", F.col(target).cast("int").alias("truth"),
@@ -133,9 +149,13 @@ def run_seed(design: Design, settings: Settings, seed: int, quality: bool = True
         values = values.unionByName(_long(cluster_quality(
             table.where("not is_test"), prepared.reducer.outputs, exact=settings.cluster.exact_silhouette)))
     cells = metrics.confusion(scored.where("is_test"), "truth", "prediction")
+    per_class = metrics.per_class(cells)
+    if names:
+        cells, per_class = (_named(df, names) for df in (cells, per_class))
     tag = F.lit(seed).alias("seed")
-    return SeedResult(cut_lineage(values.select(tag, "metric", "value")), cells.select(tag, "*"),
-                      metrics.per_class(cells).select(tag, "*"), scored, model, prepared)
+    described = [tag, F.lit(design.truth or "cluster_label").alias("target"), F.lit(len(prepared.clusters.centers)).alias("k")]
+    return SeedResult(cut_lineage(values.select(*described, "metric", "value")), cells.select(tag, "*"),
+                      per_class.select(tag, "*"), scored, model, prepared)
 
 
 def run_experiment(design: Design, settings: Settings, quality: bool = True) -> dict[str, DataFrame]:

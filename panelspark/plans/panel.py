@@ -9,7 +9,7 @@ members has no head, and some answers are only asked after another one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import assemble
@@ -166,9 +166,12 @@ def attribution_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing answer counts as the mean.
     """
     x = design(spark, sf_dir)
-    weights = score_weights()
-    phi = [F.coalesce((F.col(c) - F.col(f"m_{c}")) * w, F.lit(0.0)).alias(c) for c, w in weights.items()]
-    return x.join(wave_means(x), "wave").select("hhid", "wave", "zone", *phi)
+    return x.join(wave_means(x), "wave").select("hhid", "wave", "zone", *[p.alias(c) for c, p in attribution_columns().items()])
+
+
+def attribution_columns() -> dict[str, Column]:
+    """The attribution of each column of a design row that carries the means `m_<column>` of its wave."""
+    return {c: F.coalesce((F.col(c) - F.col(f"m_{c}")) * w, F.lit(0.0)) for c, w in score_weights().items()}
 
 
 def wave_means(x: DataFrame) -> DataFrame:

@@ -193,19 +193,19 @@ def zone_summary(spark, sf):
 def _document_score(spark, sf):
     """A logistic score of document quality on the labelled documents, with their features."""
     from panelspark.operators.ensemble import fit_stack
-    from panelspark.plans.queries_models import quick_stacking, labelled_documents
+    from panelspark.plans.queries_models import quick_stacking, scored_documents
 
-    rows, columns = labelled_documents(spark, sf)
-    model = fit_stack(rows, "doc_id", columns, "quality", quick_stacking(("glm", "drf")), 42, 2)
+    rows, columns = scored_documents(spark, sf)
+    model = fit_stack(rows.where("quality is not null"), "doc_id", columns, "quality", quick_stacking(("glm", "drf")), 42, 2)
     return rows, columns, model
 
 
 @query("e1_background_summary")
 def background_summary(spark, sf):
-    from panelspark.plans.queries_models import labelled_documents
+    from panelspark.plans.queries_models import scored_documents
 
-    rows, columns = labelled_documents(spark, sf)
-    background = explain.summarise_background(rows, columns, 20)
+    rows, columns = scored_documents(spark, sf)
+    background = explain.summarise_background(rows, columns, 50)
     return background.table(spark).select("b", "weight", *[F.col("background")[i].alias(c)
                                                           for i, c in enumerate(columns)])
 
@@ -223,9 +223,9 @@ def model_attribution(spark, sf):
     from panelspark.operators.sampling import sample_per_group
 
     rows, columns, model = _document_score(spark, sf)
-    background = explain.summarise_background(rows, columns, 10)
+    background = explain.summarise_background(rows, columns, 50)
     picked = sample_per_group(rows, "doc_id", "lang", 30, 42)
-    phi, base = explain.kernel_shap(picked, ["doc_id"], columns, background, model.score(1), 100)
+    phi, base = explain.kernel_shap(picked, ["doc_id"], columns, background, model.score(1), 500)
     return explain.to_long(phi, ["doc_id"], columns).withColumn("base", F.lit(base))
 
 
@@ -239,7 +239,7 @@ def vector_attribution(spark, sf):
     from panelspark.runtime import cut_lineage
 
     points, outputs = _coordinates(spark, sf)
-    labels = cluster.fit_kmeans(points, outputs, 2, n_init=2).assign(points, "cluster").select("vec_id", "cluster")
+    labels = cluster.fit_kmeans(points, outputs, 2).assign(points, "cluster").select("vec_id", "cluster")
     rows = cut_lineage(vectors(spark, sf).join(labels, "vec_id"))
     model = fit_stack(rows, "vec_id", VECTOR, "cluster", quick_stacking(), 42, 2)
     background = explain.summarise_background(rows, VECTOR, 50)

@@ -84,11 +84,16 @@ SELECT wave, count(*) AS n_explained, true AS additive, round(avg(score), 6) + 0
   SELECT x.wave, {score} AS score FROM x JOIN m ON x.wave = m.wave) GROUP BY wave""".format(
     score=" + ".join(f"coalesce({c}, m_{c}) * {w!r}" for c, w in panel.score_weights().items())), panel.SQL_ATTRIBUTION))
 def additivity(spark, sf):
-    scores = _scores(spark, sf)
-    gaps = quality.additivity(panel.linear_attribution(spark, sf), scores)
-    means = scores.groupBy("wave").agg(r6(F.avg("score")).alias("mean_score"))
-    return gaps.join(means, "wave").select("wave", "n_explained", (F.col("max_dev") <= 1e-2).alias("additive"),
-                                           "mean_score")
+    x = panel.design(spark, sf)
+    weights = panel.score_weights()
+    wide = x.join(panel.wave_means(x), "wave")
+    total = sum((F.coalesce(F.col(c), F.col(f"m_{c}")) * w for c, w in weights.items()), F.lit(0.0))
+    base = sum((F.col(f"m_{c}") * w for c, w in weights.items()), F.lit(0.0))
+    phi = panel.attribution_columns()
+    summed = sum((p for p in phi.values()), F.lit(0.0))
+    gaps = wide.select("wave", total.alias("score"), F.abs(summed + base - total).alias("gap"))
+    return gaps.groupBy("wave").agg(F.count(F.lit(1)).alias("n_explained"), (F.max("gap") <= 1e-2).alias("additive"),
+                                    r6(F.avg("score")).alias("mean_score"))
 
 
 def _explained(spark, sf, n=30):

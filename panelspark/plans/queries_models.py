@@ -144,6 +144,10 @@ VECTOR = [f"e{i}" for i in range(_DIM)]
 
 def vectors(spark, sf):
     e = table(spark, sf, "embeddings")
+    width = F.size("embedding")
+    whole = F.when(width == _DIM, F.col("embedding")).otherwise(F.raise_error(F.concat(
+        F.lit(f"vectors have {_DIM} values, not "), width.cast("string"))).cast("array<float>"))
+    e = e.select("vec_id", "label", whole.alias("embedding"))
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(VECTOR)])
 
 
@@ -364,11 +368,17 @@ def document_design(spark, sf, truth=None):
     return Design(picked, "doc_id", tuple(columns), groups, truth)
 
 
+def scored_documents(spark, sf):
+    """All documents with the columns a classifier sees; `quality` is null where there is no label."""
+    columns = ["n_chars", "source_no", "lang_1", "lang_2", "lang_3"]
+    rows = documents(spark, sf).withColumn("n_chars", F.log1p("n_chars"))
+    return rows.select("doc_id", "lang", F.col("quality").cast("int").alias("quality"), *columns), columns
+
+
 def labelled_documents(spark, sf):
     """Documents with a known label, ready for a classifier."""
-    columns = ["n_chars", "source_no", "lang_1", "lang_2", "lang_3", "toxic"]
-    rows = documents(spark, sf).where("quality is not null").withColumn("n_chars", F.log1p("n_chars"))
-    return rows.select("doc_id", "lang", F.col("quality").cast("int").alias("quality"), *columns), columns
+    rows, columns = scored_documents(spark, sf)
+    return rows.where("quality is not null"), columns
 
 
 def _coordinates(spark, sf, n=2):
@@ -380,43 +390,74 @@ def _coordinates(spark, sf, n=2):
 @query("m5_kmeans")
 def kmeans(spark, sf):
     points, outputs = _coordinates(spark, sf)
-    return cluster.fit_kmeans(points, outputs, 2, n_init=3).assign(points, "cluster")
+    return cluster.fit_kmeans(points, outputs, 2).assign(points, "cluster")
 
 
 @query("m8_choose_k")
 def choose_k(spark, sf):
     points, outputs = _coordinates(spark, sf)
-    best, scores = cluster.choose_k(points, outputs, (2, 3, 4), n_init=2)
+    best, scores = cluster.choose_k(points, outputs, spec.ClusterSettings().k_search_range)
     return spark.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, chosen boolean")
 
 
+def _checked(scored, train_accuracy, majority):
+    """Whether the probabilities of each document are proper, and whether the model learned more than the majority."""
+    p = F.col("p")
+    proper = (F.size("p") == 2) & (p[0] >= 0) & (p[1] >= 0) & (F.abs(p[0] + p[1] - 1) < 1e-9)
+    return scored.select("doc_id", proper.alias("proper"), F.lit(train_accuracy >= majority).alias("learned"))
+
+
+def _share(scored):
+    """Training accuracy and the share of the larger class."""
+    known = scored.where("quality is not null")
+    right = F.avg(((F.col("p")[1] > 0.5).cast("int") == F.col("quality")).cast("double"))
+    return known.agg(right, F.greatest(F.avg("quality"), 1 - F.avg("quality"))).first()
+
+
 def _learner(name):
     def run(spark, sf):
         from pyspark.ml.functions import array_to_vector
 
         from panelspark.operators.encode import vector_column
         from panelspark.operators.ensemble import fit_learner
-
-        rows, columns = labelled_documents(spark, sf)
-        data = rows.select("doc_id", "quality", array_to_vector(vector_column(columns)).alias("features"))
-        model = fit_learner(data, "quality", name, quick_stacking(), 42, data.count(), len(columns), 2)
-        return model.transform(data, "p").select("doc_id", "quality", F.col("p")[1].alias("probability"))
+        from panelspark.runtime import FIT_PARTITIONS, cut_lineage
+
+        rows, columns = scored_documents(spark, sf)
+        rows = rows.select("doc_id", "quality", array_to_vector(vector_column(columns)).alias("features"))
+        train = cut_lineage(rows.where("quality is not null").repartition(FIT_PARTITIONS, "doc_id").sortWithinPartitions("doc_id"))
+        model = fit_learner(train, "quality", name, spec.StackingSettings(), 42, train.count(), len(columns), 2)
+        scored = cut_lineage(model.transform(rows, "p").select("doc_id", "quality", "features", "p"))
+        if name != "glm":
+            return _checked(scored, *_share(scored))
+        # the penalised loss has one optimum: its gradient is 0 there
+        from pyspark.ml.functions import vector_to_array
+
+        known = scored.where("quality is not null").select(vector_to_array("features").alias("x"), (F.col("p")[1] - F.col("quality")).alias("d"))
+        means = known.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[i] * F.col("d")).alias(f"g{i}") for i in range(len(columns))]).first()
+        weights = model.models[0].coefficients.toArray()
+        flat = max(abs(means[f"g{i}"] + w / means["n"]) for i, w in enumerate(weights)) < 1e-3
+        return _checked(scored, 1.0, 0.0).withColumn("learned", F.lit(bool(flat)))
 
     return run
 
 
+_SQL_CHECKED = "SELECT doc_id, true AS proper, true AS learned FROM documents"
+
 for _id, _name, _short in (("m17", "glm", "logistic"), ("m18", "gbm", "boosting"), ("m19", "drf", "forest"),
                            ("m20", "xgb", "second_boosting"), ("m21", "nn", "neural_net")):
-    query(f"{_id}_{_short}")(_learner(_name))
+    query(f"{_id}_{_short}", _SQL_CHECKED)(_learner(_name))
 
 
-@query("m22_stacking")
+@query("m22_stacking", _SQL_CHECKED)
 def stacking(spark, sf):
+    """All five learners; every document is scored."""
     from panelspark.operators.ensemble import fit_stack
+    from panelspark.runtime import cut_lineage
 
-    rows, columns = labelled_documents(spark, sf)
-    model = fit_stack(rows, "doc_id", columns, "quality", quick_stacking(), 42, 2)
-    return model.transform(rows).select("doc_id", "quality", "prediction", F.col("probability")[1].alias("probability"))
+    rows, columns = scored_documents(spark, sf)
+    model = fit_stack(rows.where("quality is not null"), "doc_id", columns, "quality", quick_stacking(), 42, 2)
+    scored = cut_lineage(model.transform(rows).select("doc_id", "quality", F.col("probability").alias("p")))
+    return _checked(scored, *_share(scored))
 
 
 @query("m24_experiment")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark import spec
@@ -46,15 +47,15 @@ _DWELLING = WaveLayout(1, "p_partkey", "", {}, {"hh_i09": "p_size", "hh_i10": "p
 @query("p2_resolve_columns", "SELECT p_partkey, p_size, p_type, p_brand FROM part")
 def resolve_columns(spark, sf):
     part = table(spark, sf, "part")
-    wanted = [assemble.resolve_column(f.column, _DWELLING) for f in spec.features_by_section()["I"]]
+    wanted = [_DWELLING.columns.get(f.column, f.column) for f in spec.features_by_section()["I"]]
     return part.select("p_partkey", *[c for c in wanted if c and c in part.columns])
 
 
-@query("p3_present_columns", "SELECT p_partkey, p_brand, p_size, p_type FROM part WHERE p_size > 10")
+@query("p3_present_columns", "SELECT p_partkey, p_brand, p_size, p_type FROM part")
 def present_columns(spark, sf):
     part = table(spark, sf, "part")
     found = assemble.present_columns(part.columns, spec.FEATURES, _DWELLING)
-    return part.where("p_size > 10").select("p_partkey", *found)
+    return part.select("p_partkey", *found)
 
 
 @query("p4_bulk_rename", """
@@ -265,10 +266,11 @@ _ANSWERS = ["head_age", "rooms", "household_size", *panel.CODES]
 SELECT wave, count(*) AS n_complete, (SELECT count(*) FROM ft) - CAST(sum(count(*)) OVER () AS BIGINT) AS n_dropped
 FROM ft WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _ANSWERS)} GROUP BY wave""", FT))
 def complete_cases(spark, sf):
-    ft = panel.features(spark, sf)
-    kept = encode.complete_cases(ft, _ANSWERS).groupBy("wave").agg(F.count(F.lit(1)).alias("n_complete"))
-    total = ft.agg(F.count(F.lit(1))).scalar()
-    return kept.withColumn("n_dropped", total - kept.agg(F.sum("n_complete")).scalar())
+    missing = F.array(*[F.col(c).isNull() for c in _ANSWERS])
+    waves = panel.features(spark, sf).groupBy("wave").agg(
+        F.count_if(~F.array_contains(missing, True)).alias("n_complete"), F.count(F.lit(1)).alias("_rows"))
+    dropped = F.sum(F.col("_rows") - F.col("n_complete")).over(Window.partitionBy())  # one row per wave
+    return waves.withColumn("n_dropped", dropped).where("n_complete > 0").drop("_rows")
 
 
 @query("f5_threshold_report", with_sql("""

@@ -9,6 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
+#: Partitions of the rows that a model is fitted on; a constant, so that draws per partition repeat.
+FIT_PARTITIONS = 8
+
+#: Paths handed out by `scratch_path` and not deleted yet.
+_SCRATCH: list[str] = []
+
+
 def local_session(cores: str | int = "*", app: str = "panelspark",
                   shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benches; a cluster brings its own."""
@@ -30,7 +37,8 @@ def local_session(cores: str | int = "*", app: str = "panelspark",
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by `spark.checkpoint.dir`.
 
-    Only when the session names none (tests) is a fresh local folder used.
+    A local session that names none gets a fresh local folder; on a cluster that
+    is an error, since each machine would write to its own disk.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -40,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
         current = sc.getCheckpointDir()
     return current
@@ -47,7 +57,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return os.path.join(shared_dir(spark), "panelspark", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), "panelspark", f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables this program has put under the shared folder; results read from them must be written before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

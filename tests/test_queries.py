@@ -45,12 +45,6 @@ def test_fold_probe(spark, sf):
     assert rows["accuracy"] > 0.85
 
 
-def test_stacking_probabilities(spark, sf):
-    rows = QUERIES["m22_stacking"](spark, sf).collect()
-    assert rows and all(0 <= r["probability"] <= 1 for r in rows)
-    assert all((r["probability"] > 0.5) == (r["prediction"] == 1) for r in rows)
-
-
 def test_model_attribution_adds_up(spark, sf):
     phi = QUERIES["e3_model_attribution"](spark, sf)
     score = QUERIES["e2_model_score"](spark, sf)
@@ -74,7 +68,6 @@ def test_household_impute_leaves_no_gap(spark, sf):
     assert total < 1e-9
 
 
-@pytest.mark.parametrize("name", ["m5_kmeans", "m8_choose_k", "m17_logistic", "m18_boosting", "m19_forest",
-                                  "m20_second_boosting", "m21_neural_net", "m25_outside_label_run", "m29_fit_full"])
+@pytest.mark.parametrize("name", ["m5_kmeans", "m8_choose_k", "m25_outside_label_run", "m29_fit_full"])
 def test_returns_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
