@@ -197,6 +197,17 @@ def silhouette(spark, sf):
     return cluster.silhouette(vectors(spark, sf), VECTOR, "label").select(r6(F.col("silhouette")).alias("silhouette"))
 
 
+@query("m9_silhouette_squared", with_sql("""
+SELECT round(avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 5) + 0.0 AS silhouette_squared
+FROM (SELECT vec_id, max(n) FILTER (own) AS n, max(s / nullif(n - 1, 0)) FILTER (own) AS a, min(s / n) FILTER (NOT own) AS b
+      FROM (SELECT p.vec_id, q.label = p.label AS own, count(*) AS n, sum(list_distance(p.v, q.v) ** 2) AS s
+            FROM e p, e q GROUP BY p.vec_id, p.label, q.label) GROUP BY vec_id)""", SQL_VECTORS))
+def silhouette_squared(spark, sf):
+    """The silhouette of squared distances, from the sums of each cluster: linear in the rows."""
+    value = cluster.squared_silhouette(vectors(spark, sf), VECTOR, "label")
+    return spark.range(1).select((F.round(F.lit(value), 5) + 0.0).alias("silhouette_squared"))
+
+
 @query("m10_calinski_harabasz", with_sql("""
 SELECT round((b / (k - 1)) / (w / (n - k)), 6) + 0.0 AS calinski_harabasz FROM (
   SELECT sum(n * vp) AS w, sum(n * (c - m) * (c - m)) AS b, max(total) AS n, max(k) AS k FROM (

@@ -220,6 +220,70 @@ def test_kernel_shap_sampled_and_fixed_columns(spark):
             assert rows[(i, c)] == pytest.approx(weights[j] * (data[i, j] - mean[j]), abs=1e-8)
 
 
+def test_kernel_shap_of_many_columns(spark):
+    cols = [f"x{i}" for i in range(300)]
+    rng = np.random.default_rng(6)
+    masks, weights = explain.coalition_design(300, 700)
+    values = rng.normal(size=300)
+    solve = explain._solver(masks, weights)
+    scores = masks @ values
+    head = solve @ (scores - masks[:, -1] * values.sum())
+    assert np.allclose(head, values[:-1], atol=1e-8)
+    with pytest.raises(ValueError, match="at least 600"):
+        explain.coalition_design(300, 500)
+    df = spark.createDataFrame([(1, 1.0, None)], "id int, x0 double, x1 double")
+    with pytest.raises(ValueError, match="x1"):
+        explain.kernel_shap(df, ["id"], cols[:2], explain.Background(((0.0, 0.0),), (1.0,)), None, 10)
+
+
+def test_fits_do_not_depend_on_partitioning(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, r), int(k)) for i, (r, k) in enumerate(zip(x, y))],
+                               "id int, a double, b double, c double, y int")
+    s = quick_stacking(("drf", "nn"), cv=2)
+    results = []
+    for parts in (3, 11):
+        dealt = df.repartition(parts)
+        model = ensemble.fit_stack(dealt, "id", ["a", "b", "c"], "y", s)
+        scored = {r["id"]: r["probability"][1] for r in model.transform(df).collect()}
+        centers = cluster.fit_kmeans(dealt, ["a", "b", "c"], 4, n_init=1).centers
+        results.append((scored, centers))
+    (one, c1), (two, c2) = results
+    assert max(abs(one[i] - two[i]) for i in one) < 1e-6 and np.allclose(c1, c2, atol=1e-9)
+
+
+@pytest.mark.parametrize("names", [[1, 2], ["a", "b", "c"]])
+def test_outside_labels_of_any_value(spark, names):
+    from panelspark.plans import experiment
+
+    rng = np.random.default_rng(7)
+    rows = [(f"h{i}", *map(float, rng.normal(size=2) + 5 * np.array([i % len(names), (i % len(names)) ** 2])), names[i % len(names)])
+            for i in range(120)]
+    table = spark.createDataFrame(rows, f"hhid string, a double, b double, label {'int' if names[0] == 1 else 'string'}")
+    design = experiment.Design(table, "hhid", ("a", "b"), {}, "label")
+    settings = spec.Settings(impute=spec.ImputeSettings(enabled=False), cluster=spec.ClusterSettings(n_init=1),
+                             stacking=quick_stacking(("glm",), 2))
+    result = experiment.run_seed(design, settings, 42, quality=False)
+    rows = result.metrics.collect()
+    values = {r["metric"]: r["value"] for r in rows}
+    assert values["auc_macro"] > 0.9 and values["accuracy"] > 0.8
+    assert {(r["target"], r["k"]) for r in rows} == {("label", 2)}
+    assert {r["label"] for r in result.per_class.collect()} == set(names)
+    missing = experiment.Design(table.withColumn("label", F.when(F.col("hhid") != "h0", F.col("label"))), "hhid", ("a", "b"), {}, "label")
+    with pytest.raises(ValueError, match="missing"):
+        experiment.classes(missing.table, "label")
+
+
+def test_one_scan_per_query(spark, sf):
+    from panelspark.plans import catalog
+
+    for name, table, most in (("f4_complete_cases", "lineitem", 1), ("a4_value_counts", "lineitem", 1), ("q5_additivity", "lineitem", 2)):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+        assert sum(f"{table}.parquet" in line and "Scan" in line for line in plan.splitlines()) <= most, name
+
+
 def test_coalition_design():
     masks, weights = explain.coalition_design(5, 500)
     assert len(masks) == 30 and weights.sum() == pytest.approx(1.0)

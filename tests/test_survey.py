@@ -119,3 +119,14 @@ def test_evaluate_wave(spark, root, tmp_path):
     assert {"silhouette", "calinski_harabasz", "davies_bouldin", "train_test_gap"} <= {m for _, m in values}
     mean = {r["metric"]: r["mean"] for r in tables["aggregate"].collect()}
     assert mean["accuracy"] == pytest.approx((values[(42, "accuracy")] + values[(43, "accuracy")]) / 2)
+
+
+def test_head_by_number(spark, tmp_path):
+    _wave4(tmp_path, 4)
+    base = tmp_path / "wave4" / "household"
+    members = [("H0", 10, 1, 40, 2), ("H0", 2, 2, 41, 3), ("H1", 12, 1, 50, 4), ("H1", 3, 2, 51, 5), ("H2", 11, 1, 60, 6), ("H2", 1, 2, 61, 1)]
+    _write(base / "HH_SEC_B.csv", ["y4_hhid", "indidy4", "hh_b02", "hh_b04", "hh_b05"], members)
+    for heads_only, h2 in ((True, "61"), (False, "61")):
+        rows = {r["hhid"]: r for r in assemble.load_wave(spark, str(tmp_path), 4, heads_only=heads_only).collect()}
+        assert [rows[h]["head_age"] for h in ("H0", "H1", "H2")] == ["41", "51", h2]
+        assert rows["H0"]["household_size"] == 2
