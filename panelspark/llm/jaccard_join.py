@@ -229,16 +229,30 @@ def verified(docs: DataFrame, pairs: DataFrame, rule: JaccardRule, key: str, tex
 def links_in_blocks(docs: DataFrame, members: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFrame:
     """a, b: links between documents of a signature that lie in different components, enough to join those components.
 
-    The documents of a signature are dealt into blocks of bounded size, and every
-    pair of blocks is compared as a whole, so no pair of documents is a row.
+    The documents of a signature, or of a family of signatures that share
+    documents, are dealt into blocks of bounded size, and every pair of blocks is
+    compared as a whole, so no pair of documents is a row.
     """
-    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("one"), F.max("c").alias("other"))
-    groups = groups.where("one < other").select("sig", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("blocks"))
-    members = written(members.join(groups, "sig").select("sig", "id", "c", "blocks"), "jaccard-members")
+    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("one"), F.max("c").alias("other"),
+                                        F.min("id").alias("centre"))
+    groups = groups.where("one < other").select("sig", "centre", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("blocks"))
+    members = written(members.join(groups, "sig").select("sig", "id", "c", "centre", "blocks"), "jaccard-members")
+    families = connected_components(members.select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+    members = _with_component(members, families, "id", "family")
+
+    # a family is compared as a whole, or signature by signature, whichever sends fewer sets
+    whole = members.select("family", "id", "c").distinct()
+    cost = whole.groupBy("family").agg(F.count(F.lit(1)).alias("size")).join(
+        members.groupBy("family").agg(F.sum("blocks").alias("apart")), "family")
+    all_blocks = F.ceil(F.col("size") / BLOCK_SETS).cast("int")
+    cost = cost.select("family", all_blocks.alias("all_blocks"), (F.col("size") * all_blocks <= F.col("apart")).alias("at_once"))
+    cost = written(cost, "jaccard-families")
+    one = whole.join(cost.where("at_once"), "family").select(F.lit(0).alias("kind"), F.col("family").alias("grp"), "id", "c", F.col("all_blocks").alias("blocks"))
+    two = members.join(cost.where("not at_once"), "family").select(F.lit(1).alias("kind"), F.col("sig").alias("grp"), "id", "c", "blocks")
+    dealt = one.union(two).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     sets = set_arrays(docs, members.select("id").distinct(), rule, key, text)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).select("sig", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("sig", "id", "c", "own", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
+    dealt = dealt.select("kind", "grp", "id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("kind", "grp", "id", "c", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(group: pa.Table) -> pa.Table:
@@ -249,7 +263,7 @@ def links_in_blocks(docs: DataFrame, members: DataFrame, rule: JaccardRule, key:
         return pa.table({"a": ids[[x for x, _ in found]] if found else pa.array([], pa.int64()),
                          "b": ids[[y for _, y in found]] if found else pa.array([], pa.int64())})
 
-    return dealt.join(sets, "id").groupBy("sig", "low", "high").applyInArrow(compare, schema).distinct()
+    return dealt.join(sets, "id").groupBy("kind", "grp", "low", "high").applyInArrow(compare, schema).distinct()
 
 
 def _links(parts: np.ndarray, sets: list[np.ndarray], rule: JaccardRule) -> list[tuple[int, int]]:
