@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Characters of text that a task encodes at once; a longer text is encoded alone.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 3_000_000
 
 NONE = -1
 #: Unicode white space. A text falls into runs of it and the words between; only those are split by the pattern.
