@@ -172,3 +172,44 @@ def test_pipeline(spark, tmp_path, make_docs, odd_rows):
     assert not {500, 501, 502, 504, 505} & set(kept)
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(r.doc_id for r in final.collect()) == Counter(r.doc_id for r in at.collect())
+
+
+def test_passages_in_the_middle_of_lines(make_docs):
+    passage = prose(700, 57)
+    rows = [(i, f"{prose(i, 43)} {passage.upper() if i % 2 else passage} {prose(i + 500, 40)}\n{prose(i + 900, 12)}") for i in range(1, 30)]
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(make_docs(rows).repartition(5)).collect()}
+    assert got[1].n_removed == 0 and got[1].text == rows[0][1]
+    for i, text in rows[1:]:
+        at = text.lower().index(passage)
+        spans = got[i].removed
+        assert at - 20 <= spans[0].start and spans[-1].end <= at + len(passage) + 20  # a word beside it may be equal by chance
+        for span in spans:
+            assert 1 <= span.kept_id < i
+            assert rows[span.kept_id - 1][1][span.kept_start:].lower().startswith(text[span.start:span.end].lower())
+        gone = text[spans[0].start:spans[-1].end]
+        assert len(gone.split()) >= 27 and got[i].n_removed == len(spans)
+        assert got[i].text.replace(" ", "") == (text[:spans[0].start] + text[spans[-1].end:]).replace(" ", "")
+
+
+def test_every_passage_of_fifty_words_has_a_run():
+    rule, rng = line_dedup.LineRule(), random.Random(3)
+    for i in range(300):
+        passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
+        one, two = ({u[0] for u in line_dedup.text_units(f"{prose(i + k, rng.randrange(40))} {passage} {prose(i + k + 5000, rng.randrange(40))}", rule, {})}
+                    for k in (0, 10_000))
+        assert one & two, i
+
+
+def test_wrapped_passages_and_short_lines(make_docs):
+    words = prose(701, 80).split()
+    wrapped = lambda n: "\n".join(" ".join(words[i:i + n]) for i in range(0, 80, n))
+    rows = [(i, f"{prose(i, 30)}\n{wrapped(5 + i)}\n{prose(i + 500, 30)}\nlone short line") for i in range(1, 12)]
+    rows += [(100, wrapped(9)), (101, wrapped(9))]
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(make_docs(rows).repartition(5)).collect()}
+    assert got[1].n_removed == 0
+    for i, text in rows[1:11]:
+        spans = got[i].removed
+        assert sum(len(text[s.start:s.end].split()) for s in spans) >= 80 - 32
+        assert got[i].text.startswith(prose(i, 30)) and got[i].text.endswith(prose(i + 500, 30) + "\nlone short line")
+        assert "\n\n" not in got[i].text
+    assert got[101].text == ""
