@@ -191,12 +191,12 @@ def zone_summary(spark, sf):
 # ---- attribution of fitted models ------------------------------------------
 
 def _document_score(spark, sf):
-    """A logistic score of document quality on the labelled documents, with their features."""
+    """The full stack for document quality, fitted on the labelled documents, with all documents and their features."""
     from panelspark.operators.ensemble import fit_stack
-    from panelspark.plans.queries_models import quick_stacking, scored_documents
+    from panelspark.plans.queries_models import scored_documents
 
     rows, columns = scored_documents(spark, sf)
-    model = fit_stack(rows.where("quality is not null"), "doc_id", columns, "quality", quick_stacking(("glm", "drf")), 42, 2)
+    model = fit_stack(rows.where("quality is not null"), "doc_id", columns, "quality", spec.StackingSettings(), 42, 2)
     return rows, columns, model
 
 
@@ -235,13 +235,13 @@ def vector_attribution(spark, sf):
     from panelspark.operators import cluster
     from panelspark.operators.ensemble import fit_stack
     from panelspark.operators.sampling import sample_per_group
-    from panelspark.plans.queries_models import VECTOR, _coordinates, quick_stacking, vectors
+    from panelspark.plans.queries_models import VECTOR, _coordinates, vectors
     from panelspark.runtime import cut_lineage
 
     points, outputs = _coordinates(spark, sf)
     labels = cluster.fit_kmeans(points, outputs, 2).assign(points, "cluster").select("vec_id", "cluster")
     rows = cut_lineage(vectors(spark, sf).join(labels, "vec_id"))
-    model = fit_stack(rows, "vec_id", VECTOR, "cluster", quick_stacking(), 42, 2)
+    model = fit_stack(rows, "vec_id", VECTOR, "cluster", spec.StackingSettings(), 42, 2)
     background = explain.summarise_background(rows, VECTOR, 50)
     picked = sample_per_group(rows, "vec_id", "label", 21, 42)
     phi, base = explain.kernel_shap(picked, ["vec_id"], VECTOR, background, model.score(1), 500)

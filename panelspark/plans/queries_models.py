@@ -356,14 +356,14 @@ def mean_std_over_folds(spark, sf):
 # ---- fitted clusters and ensembles -----------------------------------------
 
 def quick_stacking(learners=("glm", "gbm", "drf", "xgb", "nn"), cv=3):
-    """All model families with few iterations, for runs that only need to show they work."""
+    """All model families with few iterations, for tests of other parts; no query fits it."""
     return spec.StackingSettings(base_learners=tuple(learners), cv=cv, glm_iterations=50, gbm_trees=5, drf_trees=10,
                                  drf_depth=6, xgb_trees=8, hidden_layers=(8,), nn_epochs=20)
 
 
-def quick_settings(learners=("glm", "drf"), seeds=(42, 43), cv=3):
-    return spec.Settings(cluster=spec.ClusterSettings(n_init=2), stacking=quick_stacking(learners, cv),
-                         experiment=spec.ExperimentSettings(seeds=tuple(seeds)))
+def seeded(*seeds):
+    """The full settings (five learners, five folds, ten K-Means starts) over these seeds instead of twenty."""
+    return spec.Settings(experiment=spec.ExperimentSettings(seeds=seeds))
 
 
 def document_design(spark, sf, truth=None):
@@ -466,7 +466,7 @@ def stacking(spark, sf):
     from panelspark.runtime import cut_lineage
 
     rows, columns = scored_documents(spark, sf)
-    model = fit_stack(rows.where("quality is not null"), "doc_id", columns, "quality", quick_stacking(), 42, 2)
+    model = fit_stack(rows.where("quality is not null"), "doc_id", columns, "quality", spec.StackingSettings(), 42, 2)
     scored = cut_lineage(model.transform(rows).select("doc_id", "quality", F.col("probability").alias("p")))
     return _checked(scored, *_share(scored))
 
@@ -475,7 +475,7 @@ def stacking(spark, sf):
 def experiment(spark, sf):
     from panelspark.plans.experiment import run_experiment
 
-    return run_experiment(document_design(spark, sf), quick_settings())["aggregate"]
+    return run_experiment(document_design(spark, sf), seeded(42, 43))["aggregate"]
 
 
 @query("m25_outside_label", """
@@ -493,14 +493,14 @@ def outside_label(spark, sf):
 def outside_label_run(spark, sf):
     from panelspark.plans.experiment import run_experiment
 
-    return run_experiment(document_design(spark, sf, truth="quality"), quick_settings(seeds=(42,)))["summary"]
+    return run_experiment(document_design(spark, sf, truth="quality"), seeded(42))["summary"]
 
 
 @query("m26_fold_probe")
 def fold_probe(spark, sf):
     from panelspark.plans.experiment import fold_probe as probe
 
-    return metrics.aggregate_folds(probe(document_design(spark, sf), quick_settings(("glm",)), k=3))
+    return metrics.aggregate_folds(probe(document_design(spark, sf), spec.Settings()))
 
 
 @query("m27_random_label", f"""
@@ -514,20 +514,20 @@ def random_label(spark, sf):
 def random_label_probe(spark, sf):
     from panelspark.plans.experiment import random_label_probe as probe
 
-    return probe(document_design(spark, sf), quick_settings(("glm",)), (42,))
+    return probe(document_design(spark, sf), spec.Settings(), (42,))
 
 
 @query("m28_gap_probe")
 def gap_probe(spark, sf):
     from panelspark.plans.experiment import gap_probe as probe
 
-    return probe(document_design(spark, sf), quick_settings(), (42,))
+    return probe(document_design(spark, sf), spec.Settings(), (42,))
 
 
 @query("m29_fit_full")
 def fit_full(spark, sf):
     from panelspark.plans.experiment import fit_full as full
 
-    prepared, model = full(document_design(spark, sf), quick_settings())
+    prepared, model = full(document_design(spark, sf), spec.Settings())
     return model.transform(prepared.table).select("doc_id", "cluster_label", "prediction",
                                                   F.col("probability")[1].alias("probability"))
