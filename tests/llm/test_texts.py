@@ -298,3 +298,12 @@ def test_labeler_reliabilities(spark, make_docs):
     yes, no = model.reliabilities["mail_pattern"]
     assert yes > 10 * no
     assert model.weights["words_before+"] > 0 > model.weights["neighbours-"]
+
+
+def test_threshold_keeps_recall_of_few_overlapping_findings():
+    rng = random.Random(11)
+    rows = [("".join(rng.choices("0123456789abcdef", k=20)), "") for _ in range(1100)]  # no feature tells them apart
+    labels = [int(i < 100) for i in range(1100)]
+    net = secrets.CharNet(secrets.ScanRule(epochs=3)).fit(rows, labels)
+    assert net.threshold < 0.5 and net.recall >= 0.98
+    assert 0 < net.precision < 0.5
