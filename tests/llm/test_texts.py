@@ -307,3 +307,11 @@ def test_threshold_keeps_recall_of_few_overlapping_findings():
     net = secrets.CharNet(secrets.ScanRule(epochs=3)).fit(rows, labels)
     assert net.threshold < 0.5 and net.recall >= 0.98
     assert 0 < net.precision < 0.5
+
+
+def test_right_context_tells_candidates_apart():
+    rng = random.Random(12)
+    draw = lambda n: [("".join(rng.choices("0123456789abcdef", k=20)), "see ", "@host" if i % 2 else ".png") for i in range(n)]
+    net = secrets.CharNet(secrets.ScanRule()).fit(draw(300), [i % 2 for i in range(300)])
+    one, two = net.score([("0123456789abcdef0123", "see ", "@host"), ("0123456789abcdef0123", "see ", ".png")])
+    assert one >= net.threshold > two
