@@ -315,3 +315,13 @@ def test_right_context_tells_candidates_apart():
     net = secrets.CharNet(secrets.ScanRule()).fit(draw(300), [i % 2 for i in range(300)])
     one, two = net.score([("0123456789abcdef0123", "see ", "@host"), ("0123456789abcdef0123", "see ", ".png")])
     assert one >= net.threshold > two
+
+
+def test_candidates_of_every_shape():
+    rule = secrets.ScanRule()
+    for run in ("QmFzZVNpeHR5Rm91cg==", "correcthorsebattery", "eyJhbGci.eyJzdWIi.c2lnbmF0", "hunter42", "ABCdefgh"):
+        text = f"The key {run}. Then it"
+        assert [text[s:e] for s, e in secrets.candidates(text, rule)] == [run]
+    assert secrets.candidates("Sentence " + "a" * 50 + " of........ hunter4", rule) == []
+    base = [(0, 9, "assign"), (2, 4, "hex"), (20, 30, "hex")]
+    assert secrets.overlaps([(5, 8), (9, 19), (29, 40)], base) == [True, False, True]
