@@ -9,6 +9,10 @@ words. One step per character advances all rules over all URLs of a block:
 front of a star. `*` stands for characters other than `/`, `**` for any
 characters and `?` for one character.
 
+The block globs see a canonical copy of the URL: escapes of unreserved characters
+are decoded, the path is lower-cased and its dot segments are resolved. The
+returned path and the host rules keep the path as it is.
+
 A URL without `://` or a null URL has an empty host and path, fits no rule and
 is allowed. Repeated rows are judged one by one; an empty table gives an empty
 result; other columns of the input are ignored.
@@ -16,6 +20,7 @@ result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,6 +48,27 @@ BLOCK_GLOBS = (
 BLOCK_CELLS = 2_000_000
 
 
+_ESCAPE = re.compile(r"%(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])")
+_DOTS = re.compile(r"/\.\.?(/|$)")
+
+
+def canonical(host: str, path: str) -> str:
+    """Host and path with escapes of unreserved characters decoded, the path lower-cased and its dot segments resolved."""
+    if "%" in host or "%" in path:
+        host, path = (_ESCAPE.sub(lambda m: chr(int(m[1], 16)), x) for x in (host, path))
+    path = path.lower()
+    if _DOTS.search(path):
+        out: list[str] = []
+        parts = path.split("/")[1:]
+        for part in parts:
+            if part == "..":
+                del out[-1:]
+            elif part != ".":
+                out.append(part)
+        path = "/" + "/".join(out + [""] * (parts[-1] in (".", "..") and bool(out)))
+    return host.lower() + path
+
+
 def glob_states(glob: str) -> tuple[list[str | None], dict[int, bool]]:
     """Characters that move state j on (None: any), and the states that stay (True: also at `/`)."""
     moves: list[str | None] = []
@@ -136,9 +162,13 @@ class UrlPolicy:
         own = [g for _, host, path in self.rules for g in (f"{host}{path}**", f"*.{host}{path}**")]
         return own + list(self.block)
 
-    def judge(self, automaton: GlobAutomaton, urls: list[str]) -> tuple[list[str | None], list[str]]:
+    def judge(self, automaton: GlobAutomaton, urls: list[str], plain: list[str] | None = None) -> tuple[list[str | None], list[str]]:
+        """Rule and verdict of every URL; the block globs see `plain`, the canonical copies, if they are given."""
         hit = automaton.matches(urls)
         n = len(self.rules)
+        other = [i for i, (u, p) in enumerate(zip(urls, plain or urls)) if u != p]
+        if other:
+            hit[other, 2 * n:] = automaton.matches([plain[i] for i in other])[:, 2 * n:]
         fits = hit[:, 0:2 * n:2] | hit[:, 1:2 * n:2]
         size = np.array([len(host) + len(path) for _, host, path in self.rules])
         best = np.where(fits, size[None, :], -1).argmax(axis=1)
@@ -163,7 +193,7 @@ def judge_urls(pages: DataFrame, policy: UrlPolicy = UrlPolicy(), key: str = "pa
         automaton = GlobAutomaton(policy.globs())
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            rule, verdict = policy.judge(automaton, [h + p for h, p in zip(hosts, paths)])
+            rule, verdict = policy.judge(automaton, [h + p for h, p in zip(hosts, paths)], [canonical(h, p) for h, p in zip(hosts, paths)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())],
                 [*batch.schema.names, "rule", "verdict"])

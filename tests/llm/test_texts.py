@@ -325,3 +325,14 @@ def test_candidates_of_every_shape():
     assert secrets.candidates("Sentence " + "a" * 50 + " of........ hunter4", rule) == []
     base = [(0, 9, "assign"), (2, 4, "hex"), (20, 30, "hex")]
     assert secrets.overlaps([(5, 8), (9, 19), (29, 40)], base) == [True, False, True]
+
+
+def test_block_globs_see_canonical_urls(spark):
+    cases = [("http://x.com/WP-Login.php", "block"), ("http://x.com/a/Setup.EXE", "block"), ("http://x.com/%77p-admin/", "block"),
+             ("http://x.com/wp-admin/../a", "allow"), ("http://x.com/b/./../cgi-bin/x", "block"), ("http://x.com/a%2Fwp-login", "allow"),
+             ("http://EXAMPLE.org/FR/1", "allow"), ("http://x.com/%2e%2e/", "allow"), ("http://x.com/A.b/..c", "allow")]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(cases)], "page_id long, url string")
+    rows = {r.page_id: r for r in url_globs.judge_urls(pages).collect()}
+    assert [rows[i].verdict for i in range(len(cases))] == [v for _, v in cases]
+    assert rows[0].path == "/WP-Login.php" and rows[6].rule is None
+    assert [url_globs.canonical("h", p) for p in ("", "/", "/a/..", "/a/b/..", "/../a/./b", "/a//b")] == ["h", "h/", "h/", "h/a/", "h/a/b", "h/a//b"]
