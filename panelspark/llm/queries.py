@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import byte_bpe, decontaminate, hash_tree, jaccard_join, length_histogram, line_dedup, personal, quality, secrets, url_globs
+from panelspark.llm import (
+    byte_bpe,
+    conversations,
+    decontaminate,
+    fill_middle,
+    hash_tree,
+    jaccard_join,
+    length_histogram,
+    line_dedup,
+    mixture,
+    personal,
+    quality,
+    secrets,
+    url_globs,
+)
 from panelspark.llm.common import table, written
 from panelspark.llm.registry import query
 from panelspark.llm import sql
@@ -70,3 +84,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counts = byte_bpe.token_counts(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return length_histogram.context_totals(written(length_histogram.length_histogram(counts), "length-histogram"))
+
+
+@query("op11_chunk_memo_fim", sql.FILL_MIDDLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op12_systematic_mix", sql.MIXTURE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mixture.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op13_checkpoint_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))

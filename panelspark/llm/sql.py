@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from panelspark.llm.fill_middle import FimRule
 from panelspark.llm.hash_tree import shard_tree
+from panelspark.llm.mixture import OFFSETS, MixRule
 from panelspark.llm.quality import QualityRules
 
 
@@ -122,3 +124,73 @@ SHARDS = f"""
     SELECT doc_id, size, text_crc32, 'key' AS law, shard,
            row_number() OVER (PARTITION BY shard ORDER BY md5(id || '|' || size || '|' || text_crc32), doc_id) - 1 AS slot, grown_shard
     FROM placed"""
+
+
+def _fill_middle(r: FimRule = FimRule()) -> str:
+    draw = [f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT" for i in range(4)]
+    return rf"""
+    WITH base AS (
+        SELECT doc_id, coalesce(text, '') AS t, sha256('{r.seed}:' || coalesce(doc_id::VARCHAR, '')) AS h,
+               regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+    drawn AS (SELECT *, len(u)::BIGINT AS n, {draw[0]} % (len(u) + 1) AS a, {draw[1]} % (len(u) + 1) AS b FROM base),
+    parts AS (
+        SELECT doc_id, t, n, array_to_string(u[:least(a, b)], '') AS p,
+               array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s,
+               CASE WHEN t = '' OR contains(t, '{r.prefix}') OR contains(t, '{r.suffix}') OR contains(t, '{r.middle}')
+                      OR {draw[2]} % 100 >= {r.percent} THEN 'plain'
+                    WHEN {draw[3]} % 100 < {r.spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM drawn)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{r.prefix}' || p || '{r.suffix}' || s || '{r.middle}' || m
+                  ELSE '{r.suffix}' || s || '{r.prefix}' || p || '{r.middle}' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM parts"""
+
+
+FILL_MIDDLE = _fill_middle()
+
+
+def _mixture(r: MixRule = MixRule()) -> str:
+    weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(r.weights))
+    return rf"""
+    WITH sized AS (
+        SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN 't' ELSE 's' || source END AS key,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    classed AS (
+        SELECT *, CASE WHEN size < 16 THEN size ELSE (length(bin(size)) - 4) * 16 + (size >> (length(bin(size)) - 5)) - 16 END AS class
+        FROM sized),
+    placed AS (
+        SELECT *, (row_number() OVER (PARTITION BY key ORDER BY class,
+            md5('{r.seed}|' || coalesce(doc_id::VARCHAR, '') || '|' || size), doc_id NULLS FIRST, size) - 1)::HUGEINT AS place FROM classed),
+    sources AS (SELECT key, sum(size)::HUGEINT AS size FROM sized GROUP BY key),
+    weighed AS (
+        SELECT *, (CASE (row_number() OVER (ORDER BY key) - 1) % {len(r.weights)} {weights} END)::HUGEINT AS w,
+               sum(size) OVER ()::HUGEINT AS total FROM sources),
+    levels AS (
+        SELECT *, coalesce(sum(size) OVER before, 0)::HUGEINT AS full_before,
+               (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::HUGEINT AS open_from FROM weighed
+        WINDOW before AS (ORDER BY size * {_product(r.weights)} // w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    judged AS (
+        SELECT *, {100 * r.most} * size * open_from < w * ({r.percent} * total - {100 * r.most} * full_before) AS is_full FROM levels),
+    shared AS (
+        SELECT *, coalesce(sum(CASE WHEN is_full THEN size END) OVER (), 0)::HUGEINT AS sated,
+               coalesce(sum(CASE WHEN NOT is_full THEN w END) OVER (), 0)::HUGEINT AS open_w FROM judged),
+    targets AS (
+        SELECT key, size, CASE WHEN is_full THEN {100 * r.most} * size ELSE w * ({r.percent} * total - {100 * r.most} * sated) END AS num,
+               CASE WHEN is_full THEN 100 ELSE 100 * open_w END AS part,
+               ('0x' || substr(md5('{r.seed}|' || key), 1, 5))::HUGEINT AS k FROM shared)
+    SELECT doc_id, p.size, t.size::BIGINT AS source_size, num::DOUBLE / part::DOUBLE AS target,
+           (CASE WHEN t.size = 0 THEN 0 ELSE
+               ((place + 1) * num * {OFFSETS} + k * part * t.size) // (part * t.size * {OFFSETS})
+               - (place * num * {OFFSETS} + k * part * t.size) // (part * t.size * {OFFSETS}) END * p.size)::BIGINT AS taken
+    FROM placed p JOIN targets t ON p.key = t.key"""
+
+
+def _product(values) -> int:
+    out = 1
+    for v in values:
+        out *= v
+    return out
+
+
+MIXTURE = _mixture()
