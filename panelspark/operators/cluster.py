@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import squared_distance
 from panelspark.operators.encode import vector_column
-from panelspark.runtime import FIT_PARTITIONS, cut_lineage
+from panelspark.runtime import cut_lineage, fit_partitions
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10,
     Points are dealt into a fixed number of partitions by value, and sorted in
     each, so the draws do not depend on how the input was partitioned.
     """
-    points = df.select(*columns).repartition(FIT_PARTITIONS, *columns).sortWithinPartitions(*columns)
+    points = df.select(*columns).repartition(fit_partitions(df.count(), len(columns)), *columns).sortWithinPartitions(*columns)
     vectors = points.select(array_to_vector(vector_column(columns)).alias("features")).cache()
     try:
         best = None

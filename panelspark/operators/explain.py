@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.encode import vector_column
-from panelspark.runtime import FIT_PARTITIONS, bounded_rows
+from panelspark.runtime import bounded_rows, fit_partitions
 
 
 def owner_feature(column: Column, features: Sequence[str]) -> Column:
@@ -87,7 +87,7 @@ def background_of(table: DataFrame, columns: Sequence[str], weight: str, limit:
 def summarise_background(df: DataFrame, columns: Sequence[str], size: int = 50, seed: int = 42) -> Background:
     """K-Means centres, each value moved to the nearest observed one, weighted by cluster size."""
     arrays = df.select(vector_column(columns, "x"))
-    vectors = arrays.repartition(FIT_PARTITIONS, "x").sortWithinPartitions("x").select(array_to_vector("x").alias("features")).cache()
+    vectors = arrays.repartition(fit_partitions(arrays.count(), len(columns)), "x").sortWithinPartitions("x").select(array_to_vector("x").alias("features")).cache()
     try:
         model = KMeans(k=size, seed=seed).fit(vectors)
         centers = [c.tolist() for c in model.clusterCenters()]

@@ -411,43 +411,37 @@ def choose_k(spark, sf):
     return spark.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, silhouette double, chosen boolean")
 
 
-def _checked(scored, train_accuracy, majority):
-    """Whether the probabilities of each document are proper, and whether the model learned more than the majority."""
+def _checked(scored, loss, base):
+    """Whether the probabilities of each document are proper, and whether the model beats the share of the classes in log-loss."""
     p = F.col("p")
     proper = (F.size("p") == 2) & (p[0] >= 0) & (p[1] >= 0) & (F.abs(p[0] + p[1] - 1) < 1e-9)
-    return scored.select("doc_id", proper.alias("proper"), F.lit(train_accuracy >= majority).alias("learned"))
+    return scored.select("doc_id", proper.alias("proper"), F.lit(loss < base).alias("learned"))
 
 
-def _share(scored):
-    """Training accuracy and the share of the larger class."""
-    known = scored.where("quality is not null")
-    right = F.avg(((F.col("p")[1] > 0.5).cast("int") == F.col("quality")).cast("double"))
-    return known.agg(right, F.greatest(F.avg("quality"), 1 - F.avg("quality"))).first()
+def _losses(scored):
+    """Mean log-loss on the labelled documents, and that of always answering the share of the classes."""
+    true = F.when(F.col("quality") == 1, F.col("p")[1]).otherwise(F.col("p")[0])
+    share = F.avg("quality")
+    base = -(share * F.ln(share) + (1 - share) * F.ln(1 - share))
+    return scored.where("quality is not null").agg(F.avg(-F.ln(F.greatest(true, F.lit(1e-6)))), base).first()
 
 
 def _learner(name):
     def run(spark, sf):
-        from pyspark.ml.functions import array_to_vector
-
-        from panelspark.operators.encode import vector_column
-        from panelspark.operators.ensemble import fit_learner
-        from panelspark.runtime import FIT_PARTITIONS, cut_lineage
+        from panelspark.operators.ensemble import fit_learner, probability_column
+        from panelspark.runtime import cut_lineage
 
         rows, columns = scored_documents(spark, sf)
-        rows = rows.select("doc_id", "quality", array_to_vector(vector_column(columns)).alias("features"))
-        train = cut_lineage(rows.where("quality is not null").repartition(FIT_PARTITIONS, "doc_id").sortWithinPartitions("doc_id"))
-        model = fit_learner(train, "quality", name, spec.StackingSettings(), 42, train.count(), len(columns), 2)
-        scored = cut_lineage(model.transform(rows, "p").select("doc_id", "quality", "features", "p"))
+        rows = rows.select("doc_id", "quality", F.array(*columns).alias("features"))
+        model = fit_learner(rows.where("quality is not null"), "doc_id", "quality", name, spec.StackingSettings(), 42, len(columns), 2)
+        scored = cut_lineage(rows.withColumn("p", probability_column(F.col("features"), model.probabilities)))
         if name != "glm":
-            return _checked(scored, *_share(scored))
+            return _checked(scored, *_losses(scored))
         # the penalised loss has one optimum: its gradient is 0 there
-        from pyspark.ml.functions import vector_to_array
-
-        known = scored.where("quality is not null").select(vector_to_array("features").alias("x"), (F.col("p")[1] - F.col("quality")).alias("d"))
-        means = known.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[i] * F.col("d")).alias(f"g{i}") for i in range(len(columns))]).first()
-        weights = model.models[0].coefficients.toArray()
-        flat = max(abs(means[f"g{i}"] + w / means["n"]) for i, w in enumerate(weights)) < 1e-3
-        return _checked(scored, 1.0, 0.0).withColumn("learned", F.lit(bool(flat)))
+        known = scored.where("quality is not null").select("features", (F.col("p")[1] - F.col("quality")).alias("d"))
+        means = known.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("features")[i] * F.col("d")).alias(f"g{i}") for i in range(len(columns))]).first()
+        flat = max(abs(means[f"g{i}"] + w / means["n"]) for i, w in enumerate(model.weights[0])) < 1e-3
+        return _checked(scored, 0.0, 1.0).withColumn("learned", F.lit(bool(flat)))
 
     return run
 
@@ -468,7 +462,7 @@ def stacking(spark, sf):
     rows, columns = scored_documents(spark, sf)
     model = fit_stack(rows.where("quality is not null"), "doc_id", columns, "quality", spec.StackingSettings(), 42, 2)
     scored = cut_lineage(model.transform(rows).select("doc_id", "quality", F.col("probability").alias("p")))
-    return _checked(scored, *_share(scored))
+    return _checked(scored, *_losses(scored))
 
 
 @query("m24_experiment")

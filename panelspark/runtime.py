@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 
 
-#: Partitions of the rows that a model is fitted on; a constant, so that draws per partition repeat.
-FIT_PARTITIONS = 8
+#: Cells (rows x columns) of a partition that a model is fitted on.
+FIT_CELLS = 500_000
 
 #: Paths handed out by `scratch_path` and not deleted yet.
 _SCRATCH: list[str] = []
@@ -70,6 +70,11 @@ def drop_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fit_partitions(rows: int, width: int) -> int:
+    """Partitions to fit a model on: they grow with the data, and equal data gives an equal number."""
+    return max(1, -(-rows * max(width, 1) // FIT_CELLS))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` reliably so that later stages never recompute it."""
     shared_dir(df.sparkSession)

@@ -308,18 +308,23 @@ def test_multiclass_stack(spark):
     assert np.mean([r["prediction"] == r["y"] for r in rows]) > 0.9
     assert all(abs(sum(r["probability"]) - 1) < 1e-9 for r in rows)
     with pytest.raises(ValueError):
-        ensemble.make_learner("svm", s, 1, 1, 1, 2)
+        ensemble.fit_stack(df, "id", ["a", "b"], "y", spec.StackingSettings(base_learners=("svm",)))
 
 
 def test_out_of_fold_covers_every_row_once(spark):
     df = spark.range(60).select(F.col("id"), (F.col("id") % 2).cast("int").alias("y"),
                                 (F.col("id") % 7).cast("double").alias("a"))
-    from pyspark.ml.functions import array_to_vector
-
-    s = quick_stacking(("glm",), cv=3)
-    data = sampling.folds(df.select("id", "y", array_to_vector(F.array("a")).alias("features")), "id", 1, 3, "y")
-    oof = ensemble.out_of_fold(data, "y", s, 1, 60, 1, 2)
-    assert oof.count() == 60 and oof.select("id").distinct().count() == 60
+    s = quick_stacking(("glm", "gbm"), cv=3)
+    data = sampling.folds(df.select("id", "y", F.array("a").alias("features")), "id", 1, 3, "y")
+    fitted = ensemble.fit_learners(data, "id", "y", s.base_learners, s, 1, 60, 1, 2, range(3))
+    oof = ensemble.out_of_fold(data, fitted, s.base_learners, 2)
+    plan = oof._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+    rows = oof.collect()
+    assert len({r["id"] for r in rows}) == len(rows) == 60
+    for r in rows:
+        each = [fitted[r["fold"], n].probabilities(np.array([r["features"]]))[0, 1] for n in s.base_learners]
+        assert np.allclose(r["_meta"], each)
     passthrough = ensemble.fit_stack(df, "id", ["a"], "y", spec.StackingSettings(
         base_learners=("glm",), cv=2, passthrough=True, glm_iterations=20))
     assert passthrough.transform(df).count() == 60
@@ -354,3 +359,22 @@ def test_wave_overwrite_keeps_other_waves(spark, tmp_path):
     back = results.read_table(spark, str(tmp_path), "t")
     assert {(r["wave"], r["v"]) for r in back.collect()} == {(1, "a"), (2, "c")}
     assert {r["wave"] for r in results.available_waves(back).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_learners_score_like_spark(spark, classes):
+    """The numpy form of Spark's linear model and network gives Spark's own probabilities."""
+    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(90, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), i % classes) for i, (a, b) in enumerate(x)], "id int, a double, b double, y int")
+    rows = df.select("id", F.col("y").cast("double").alias("y"), array_to_vector(F.array("a", "b")).alias("_vector")).repartition(1)
+    s = quick_stacking()
+    for name, learner in (("glm", LogisticRegression(maxIter=50, regParam=1 / 90, standardization=False)),
+                          ("nn", MultilayerPerceptronClassifier(layers=[2, 8, classes], maxIter=20, seed=5))):
+        theirs = learner.setLabelCol("y").setFeaturesCol("_vector").fit(rows).transform(rows).orderBy("id")
+        want = np.array([r[0] for r in theirs.select(vector_to_array("probability")).collect()])
+        ours = ensemble._fit_spark(name, rows, "y", s, 5, 90, 2, classes)
+        assert np.allclose(ours.probabilities(x), want, atol=1e-6)
