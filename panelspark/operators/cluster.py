@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,28 +54,98 @@ def order_by_column(centers: Sequence[Sequence[float]], column: int) -> list[int
     return sorted(range(len(centers)), key=lambda i: (centers[i][column], i))
 
 
-def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
-               by_norm: bool = True, max_iter: int = 100, tol: float = 1e-4) -> Clusters:
-    """K-Means with restarts: the start with the least cost is kept.
+#: Distinct points that starting centres are drawn from; every point takes part in all passes.
+START_POINTS = 10_000
+
+
+def _starting_centers(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres far from each other, each drawn by its squared distance to those before."""
+    rng, chance, chosen = np.random.default_rng(seed), weights.astype(float), []
+    near = np.full(len(points), np.inf)
+    for _ in range(k):
+        total = chance.sum()
+        at = int(np.searchsorted(np.cumsum(chance), rng.random() * total, side="right")) if total > 0 else int(rng.integers(len(points)))
+        chosen.append(points[min(at, len(points) - 1)])
+        near = np.minimum(near, ((points - chosen[-1])**2).sum(axis=1))
+        chance = near * weights
+    return np.array(chosen)
+
+
+def fit_starts(df: DataFrame, columns: Sequence[str], ks: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 100,
+               tol: float = 1e-4) -> dict[int, list[Clusters]]:
+    """K-Means for every K from `n_init` starts each, all in the same passes; clusters in no particular order.
 
-    Points are dealt into a fixed number of partitions by value, and sorted in
-    each, so the draws do not depend on how the input was partitioned.
+    Equal points collapse into one with a weight, in a layout that follows the
+    number of distinct points. A pass assigns each point to the nearest centre of
+    every start still moving, and one sum per (start, cluster, column) comes back.
+    There are as many passes as the slowest start takes, and one for costs and sizes.
     """
-    points = df.select(*columns).repartition(fit_partitions(df.count(), len(columns)), *columns).sortWithinPartitions(*columns)
-    vectors = points.select(array_to_vector(vector_column(columns)).alias("features")).cache()
-    try:
-        best = None
-        for start in range(n_init):
-            model = KMeans(k=k, seed=seed + start, maxIter=max_iter, tol=tol).fit(vectors)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, [c.tolist() for c in model.clusterCenters()], list(model.summary.clusterSizes))
-    finally:
-        vectors.unpersist()
-    cost, centers, sizes = best
-    order = order_by_norm(centers) if by_norm else list(range(len(centers)))
-    return Clusters(tuple(columns), tuple(tuple(centers[i]) for i in order), float(cost),
-                    tuple(int(sizes[i]) for i in order))
+    width = len(columns)
+    points = cut_lineage(df.groupBy(vector_column(columns, "v")).agg(F.count(F.lit(1)).alias("w")))
+    n = points.count()
+    if not n:
+        raise ValueError("K-Means needs at least one point.")
+    points = cut_lineage(points.repartition(fit_partitions(n, width), "v").sortWithinPartitions("v"))
+    first = points.orderBy(F.xxhash64("v"), "v").limit(START_POINTS).collect()
+    x, w = np.array([r["v"] for r in first], float), np.array([r["w"] for r in first])
+    starts = [(k, s) for k in ks for s in range(n_init)]
+    centers = {i: _starting_centers(x, w, k, seed + s) for i, (k, s) in enumerate(starts)}
+
+    def totals(active: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Per start and cluster: column sums, weight and cost."""
+        def add(parts):
+            found = {i: np.zeros((len(c), width + 2)) for i, c in active.items()}
+            for b in parts:
+                if not b.num_rows:
+                    continue
+                x = np.stack(b.column("v").to_numpy(zero_copy_only=False))
+                w = b.column("w").to_numpy().astype(float)
+                for i, c in active.items():
+                    gaps = np.stack([((x - one)**2).sum(axis=1) for one in c], axis=1)
+                    own = gaps.argmin(axis=1)
+                    for j in range(width):
+                        found[i][:, j] += np.bincount(own, x[:, j] * w, len(c))
+                    found[i][:, width] += np.bincount(own, w, len(c))
+                    found[i][:, width + 1] += np.bincount(own, gaps[np.arange(len(x)), own] * w, len(c))
+            rows = [(i, k, j, v) for i, t in found.items() for k, r in enumerate(t) for j, v in enumerate(r)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.float64()))],
+                                             names=["s", "k", "j", "value"])
+
+        out = {i: np.zeros((len(c), width + 2)) for i, c in active.items()}
+        summed = points.mapInArrow(add, "s int, k int, j int, value double").groupBy("s", "k", "j").agg(F.sum("value").alias("value"))
+        for r in summed.collect():
+            out[r["s"]][r["k"], r["j"]] = r["value"]
+        return out
+
+    moving = dict(centers)
+    for _ in range(max_iter):
+        for i, t in totals(moving).items():
+            filled = t[:, width] > 0
+            new = centers[i].copy()
+            new[filled] = t[filled, :width] / t[filled, width, None]
+            still = (((new - centers[i])**2).sum(axis=1) > tol * tol).any()
+            centers[i] = new
+            moving.pop(i)
+            if still:
+                moving[i] = new
+        if not moving:
+            break
+    found: dict[int, list[Clusters]] = {k: [] for k in ks}
+    for i, t in totals(centers).items():
+        found[starts[i][0]].append(Clusters(tuple(columns), tuple(map(tuple, centers[i].tolist())), float(t[:, width + 1].sum()),
+                                            tuple(int(v) for v in t[:, width])))
+    return found
+
+
+def _ordered(best: Clusters, by_norm: bool) -> Clusters:
+    order = order_by_norm(best.centers) if by_norm else range(len(best.centers))
+    return Clusters(best.columns, tuple(best.centers[i] for i in order), best.cost, tuple(best.sizes[i] for i in order))
+
+
+def fit_kmeans(df: DataFrame, columns: Sequence[str], k: int, n_init: int = 10, seed: int = 42,
+               by_norm: bool = True, max_iter: int = 100, tol: float = 1e-4) -> Clusters:
+    """K-Means with restarts: the start with the least cost is kept, the earliest at a tie."""
+    return _ordered(min(fit_starts(df, columns, [k], n_init, seed, max_iter, tol)[k], key=lambda c: c.cost), by_norm)
 
 
 def choose_k(df: DataFrame, columns: Sequence[str], candidates: Sequence[int] = (2, 3, 4, 5), n_init: int = 10,
@@ -85,14 +155,14 @@ def choose_k(df: DataFrame, columns: Sequence[str], candidates: Sequence[int] =
     `exact=False` ranks by the squared-Euclidean silhouette, which is linear in the rows.
     """
     n = df.count()
-    scores = {}
-    for k in candidates:
-        if 2 <= k < n:
-            labelled = fit_kmeans(df, columns, k, n_init, seed).assign(df)
-            scores[k] = (silhouette(labelled, columns, "label").first()["silhouette"] if exact
-                         else squared_silhouette(labelled, columns, "label"))
-    if not scores:
+    fitting = [k for k in candidates if 2 <= k < n]
+    if not fitting:
         raise ValueError(f"No K in {tuple(candidates)} fits {n} rows.")
+    scores = {}
+    for k, found in fit_starts(df, columns, fitting, n_init, seed).items():
+        labelled = _ordered(min(found, key=lambda c: c.cost), True).assign(df)
+        scores[k] = (silhouette(labelled, columns, "label").first()["silhouette"] if exact
+                     else squared_silhouette(labelled, columns, "label"))
     return max(scores, key=lambda k: scores[k]), scores
 
 

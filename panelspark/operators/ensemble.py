@@ -52,7 +52,7 @@ class NetworkLearner:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         for i, (weights, bias) in enumerate(self.layers):
             x = x @ weights.T + bias
-            x = 1.0 / (1.0 + np.exp(-x)) if i < len(self.layers) - 1 else _softmax(x)
+            x = 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500))) if i < len(self.layers) - 1 else _softmax(x)
         return x
 
 

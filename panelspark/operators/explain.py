@@ -9,13 +9,13 @@ from math import comb, factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.cluster import fit_starts
 from panelspark.operators.encode import vector_column
-from panelspark.runtime import bounded_rows, fit_partitions
+from panelspark.runtime import bounded_rows
 
 
 def owner_feature(column: Column, features: Sequence[str]) -> Column:
@@ -85,26 +85,39 @@ def background_of(table: DataFrame, columns: Sequence[str], weight: str, limit:
 
 
 def summarise_background(df: DataFrame, columns: Sequence[str], size: int = 50, seed: int = 42) -> Background:
-    """K-Means centres, each value moved to the nearest observed one, weighted by cluster size."""
-    arrays = df.select(vector_column(columns, "x"))
-    vectors = arrays.repartition(fit_partitions(arrays.count(), len(columns)), "x").sortWithinPartitions("x").select(array_to_vector("x").alias("features")).cache()
-    try:
-        model = KMeans(k=size, seed=seed).fit(vectors)
-        centers = [c.tolist() for c in model.clusterCenters()]
-        sizes = [int(n) for n in model.summary.clusterSizes]
-    finally:
-        vectors.unpersist()
-    observed = arrays.select(F.posexplode("x").alias("j", "value")).distinct()
-    flat = [(c, j, float(v)) for c, center in enumerate(centers) for j, v in enumerate(center)]
-    wanted = df.sparkSession.createDataFrame(flat, "c int, j int, target double")
-    near = observed.join(F.broadcast(wanted), "j").groupBy("c", "j").agg(
-        F.min(F.struct(F.abs(F.col("value") - F.col("target")).alias("gap"), "value")).alias("best"))
-    snapped = bounded_rows(near.select("c", "j", "best.value"), len(flat), "The background")
-    for row in snapped:
-        centers[row["c"]][row["j"]] = row["value"]
-    total = float(sum(sizes))
-    kept = [i for i, n in enumerate(sizes) if n > 0]
-    return Background(tuple(tuple(centers[i]) for i in kept), tuple(sizes[i] / total for i in kept))
+    """K-Means centres, each value moved to the nearest observed one, weighted by cluster size.
+
+    The centres' values cut each column into ranges. Of the observed values of a
+    range only the least and the greatest can be nearest to a centre, so one
+    aggregation by (column, range) finds them all; the lower one wins a tie.
+    """
+    found = fit_starts(df, columns, [size], 1, seed)[size][0]
+    centers = np.array(found.centers)
+    edges = np.sort(centers, axis=0)
+
+    def ends(parts):
+        low, high = np.full((size + 1, len(columns)), np.inf), np.full((size + 1, len(columns)), -np.inf)
+        for b in parts:
+            x = np.stack(b.column("x").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, len(columns)))
+            for j in range(len(columns)):
+                at = np.searchsorted(edges[:, j], x[:, j], side="left")
+                np.minimum.at(low[:, j], at, x[:, j])
+                np.maximum.at(high[:, j], at, x[:, j])
+        at, j = np.nonzero(low <= high)
+        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(at, pa.int32()), pa.array(low[at, j]), pa.array(high[at, j])],
+                                         names=["j", "at", "low", "high"])
+
+    ranges = df.select(vector_column(columns, "x")).mapInArrow(ends, "j int, at int, low double, high double").groupBy("j", "at").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    seen: dict[int, list[float]] = {}
+    for r in bounded_rows(ranges, (size + 1) * len(columns), "The background"):
+        seen.setdefault(r["j"], []).extend((r["low"], r["high"]))
+    for j, values in seen.items():
+        values = np.unique(values)
+        centers[:, j] = values[np.abs(values[None, :] - centers[:, j, None]).argmin(axis=1)]
+    total = float(sum(found.sizes))
+    kept = [i for i, n in enumerate(found.sizes) if n > 0]
+    return Background(tuple(tuple(centers[i].tolist()) for i in kept), tuple(found.sizes[i] / total for i in kept))
 
 
 # ---- Shapley values --------------------------------------------------------

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,22 @@ from panelspark.operators.impute import knn_impute
 from panelspark.runtime import bounded_rows, cut_lineage
 from panelspark.spec import Settings, feature_names
 
+#: Runs (seeds, folds) whose jobs are in Spark's hands at the same time.
+RUNS_AT_ONCE = 5
+
+
+def _side_by_side(run: Callable, items: Sequence) -> list:
+    """Results of independent runs, in order; their small jobs fill each other's gaps."""
+    with ThreadPoolExecutor(RUNS_AT_ONCE) as pool:
+        return list(pool.map(run, items))
+
+
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
 
 @dataclass(frozen=True)
 class Design:
@@ -161,8 +178,8 @@ def run_seed(design: Design, settings: Settings, seed: int, quality: bool = True
 def run_experiment(design: Design, settings: Settings, quality: bool = True) -> dict[str, DataFrame]:
     """Every seed; tables `summary`, `aggregate`, `confusion`, `per_class`."""
     tables: dict[str, DataFrame] = {}
-    for number, seed in enumerate(settings.experiment.seeds, 1):
-        result = run_seed(design, settings, seed, quality)
+    results = _side_by_side(lambda seed: run_seed(design, settings, seed, quality), settings.experiment.seeds)
+    for number, result in enumerate(results, 1):
         for name, part in (("summary", result.metrics), ("confusion", result.confusion),
                            ("per_class", result.per_class)):
             part = part.select(F.lit(number).alias("run"), "*")
@@ -175,18 +192,19 @@ def run_experiment(design: Design, settings: Settings, quality: bool = True) ->
 
 def gap_probe(design: Design, settings: Settings, seeds: Sequence[int]) -> DataFrame:
     """Train and test accuracy with answers and with coordinates as input, per seed."""
-    out = None
-    for seed in seeds:
-        rows = cut_lineage(sampling.split(design.table, design.key, seed, settings.experiment.test_size))
-        prepared = prepare(design, rows, settings, seed)
-        for kind in ("raw", "reduced"):
-            s = replace(settings, stacking=replace(settings.stacking, classifier_input=kind))
-            model = fit_stack(prepared.table.where("not is_test"), design.key,
-                              classifier_columns(design, prepared, s), "cluster_label", s.stacking, seed)
-            gap = metrics.train_test_gap(model.transform(prepared.table), "cluster_label", "prediction")
-            part = gap.select(F.lit(seed).alias("seed"), F.lit(kind).alias("input"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+    prepared = dict(zip(seeds, _side_by_side(lambda seed: prepare(design, cut_lineage(
+        sampling.split(design.table, design.key, seed, settings.experiment.test_size)), settings, seed), seeds)))
+
+    def one(run):
+        seed, kind = run
+        s = replace(settings, stacking=replace(settings.stacking, classifier_input=kind))
+        table = prepared[seed].table
+        model = fit_stack(table.where("not is_test"), design.key, classifier_columns(design, prepared[seed], s), "cluster_label",
+                          s.stacking, seed)
+        gap = metrics.train_test_gap(model.transform(table), "cluster_label", "prediction")
+        return gap.select(F.lit(seed).alias("seed"), F.lit(kind).alias("input"), "*")
+
+    return _stacked(_side_by_side(one, [(seed, kind) for seed in seeds for kind in ("raw", "reduced")]))
 
 
 def fold_probe(design: Design, settings: Settings, k: int = 5, seed: int = 42) -> DataFrame:
@@ -194,8 +212,8 @@ def fold_probe(design: Design, settings: Settings, k: int = 5, seed: int = 42) -
     whole = prepare(design, design.table.withColumn("is_test", F.lit(False)), settings, seed)
     strata = whole.table.select(design.key, F.col("cluster_label").alias("_stratum"))
     placed = cut_lineage(sampling.folds(design.table.join(strata, design.key), design.key, seed, k, stratify="_stratum"))
-    out = None
-    for fold in range(k):
+
+    def one(fold):
         rows = placed.withColumn("is_test", F.col("fold") == fold).drop("_stratum", "fold")
         prepared = prepare(design, rows, settings, seed)
         model = fit_stack(prepared.table.where("not is_test"), design.key,
@@ -204,26 +222,25 @@ def fold_probe(design: Design, settings: Settings, k: int = 5, seed: int = 42) -
                                                                                    "probability"))
         auc = metrics.macro_auc(test.withColumns({f"_s{c}": F.col("probability")[c] for c in range(model.n_classes)}),
                                 "cluster_label", {c: f"_s{c}" for c in range(model.n_classes)})
-        part = _long(metrics.accuracy(test, "cluster_label", "prediction")).unionByName(_long(auc)).select(
+        return _long(metrics.accuracy(test, "cluster_label", "prediction")).unionByName(_long(auc)).select(
             F.lit(fold).alias("fold"), "metric", "value")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    return _stacked(_side_by_side(one, range(k)))
 
 
 def random_label_probe(design: Design, settings: Settings, seeds: Sequence[int],
                        key_fn=sampling.hashed_key) -> DataFrame:
     """Test accuracy on a label that only depends on the id: about one half."""
-    out = None
-    for seed in seeds:
+    def one(seed):
         labelled = design.table.withColumn("random_label", sampling.random_label(F.col(design.key), 1000 + seed, key_fn))
         rows = cut_lineage(sampling.split(labelled, design.key, seed, settings.experiment.test_size))
         prepared = prepare(design, rows, settings, seed)
         model = fit_stack(prepared.table.where("not is_test"), design.key, list(design.columns), "random_label",
                           settings.stacking, seed)
-        part = metrics.accuracy(model.transform(prepared.table).where("is_test"), "random_label", "prediction").select(
+        return metrics.accuracy(model.transform(prepared.table).where("is_test"), "random_label", "prediction").select(
             F.lit(seed).alias("seed"), "accuracy")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    return _stacked(_side_by_side(one, seeds))
 
 
 def fit_full(design: Design, settings: Settings, seed: int = 42) -> tuple[Prepared, StackedModel]:

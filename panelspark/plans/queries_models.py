@@ -398,10 +398,16 @@ def _coordinates(spark, sf, n=2):
     return fitted.transform(v).select("vec_id", "label", *fitted.outputs), fitted.outputs
 
 
-@query("m5_kmeans")
+@query("m5_kmeans", "SELECT vec_id, true AS settled, true AS least_cost FROM embeddings")
 def kmeans(spark, sf):
+    """Every vector; whether the centres are the means of what they attract, and the kept start costs least of ten."""
     points, outputs = _coordinates(spark, sf)
-    return cluster.fit_kmeans(points, outputs, 2).assign(points, "cluster")
+    best = cluster.fit_kmeans(points, outputs, 2)
+    placed = best.assign(points, "cluster")
+    means = {r["cluster"]: r for r in placed.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in outputs]).collect()}
+    settled = all(abs(means[i][c] - v) < 1e-2 for i, center in enumerate(best.centers) for c, v in zip(outputs, center))
+    costs = [s.cost for s in cluster.fit_starts(points, outputs, [2])[2]]
+    return placed.select("vec_id", F.lit(settled).alias("settled"), F.lit(best.cost <= min(costs) * (1 + 1e-9)).alias("least_cost"))
 
 
 @query("m8_choose_k")

@@ -378,3 +378,39 @@ def test_learners_score_like_spark(spark, classes):
         want = np.array([r[0] for r in theirs.select(vector_to_array("probability")).collect()])
         ours = ensemble._fit_spark(name, rows, "y", s, 5, 90, 2, classes)
         assert np.allclose(ours.probabilities(x), want, atol=1e-6)
+
+
+def test_starts_share_their_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.3, (60, 2)) for c in ([0, 0], [4, 0], [0, 4])] + [np.full((500, 2), 4.0)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    passes = []
+    frame = type(df)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: (passes.append(1), collect(self))[1])
+    found = cluster.fit_starts(df, ["a", "b"], [2, 4], n_init=6)
+    together = len(passes)
+    passes.clear()
+    slowest = 0
+    for k in (2, 4):
+        for s in range(6):
+            one = cluster.fit_starts(df, ["a", "b"], [k], n_init=1, seed=42 + s)[k][0]
+            assert np.allclose(one.centers, found[k][s].centers, atol=1e-9) and one.cost == pytest.approx(found[k][s].cost)
+            slowest, _ = max(slowest, len(passes)), passes.clear()
+    assert together == slowest
+    best = cluster.fit_kmeans(df, ["a", "b"], 4, n_init=6)
+    assert sum(best.sizes) == len(x) and best.cost == pytest.approx(min(c.cost for c in found[4]))
+    gaps = ((x[:, None] - np.array(best.centers)[None])**2).sum(axis=2)
+    assert np.bincount(gaps.argmin(axis=1), minlength=4).tolist() == list(best.sizes)
+    assert best.cost == pytest.approx(gaps.min(axis=1).sum())
+
+
+def test_background_values_are_the_nearest_observed(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(400, 3)), 2)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(5)
+    centers = np.array(cluster.fit_starts(df, ["a", "b", "c"], [12], 1)[12][0].centers)
+    got = np.array(explain.summarise_background(df, ["a", "b", "c"], 12).rows)
+    for j in range(3):
+        seen = np.unique(x[:, j])
+        assert np.allclose(got[:, j], seen[np.abs(seen[None] - centers[:, j, None]).argmin(axis=1)])
