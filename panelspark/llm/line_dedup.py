@@ -19,9 +19,9 @@ of what runs cover between removed lines, less than `window` words stay. Offsets
 are those of the original text, in code points, end exclusive. The remaining
 text has no removed offset, and no line that removal left blank.
 
-Digests are grouped by partial aggregation, so a unit that occurs everywhere is
-one row per task; the join back to its occurrences is left to Spark, which
-splits a skewed side. Among n different units, n * n / 2**65 are expected to
+Units are computed and shuffled once. A block of documents sends one row per
+digest, with its further occurrences packed, so a unit that occurs everywhere is
+a few rows of one task. Among n different units, n * n / 2**65 are expected to
 share a digest by chance: 0.1 of two thousand million.
 
 A null or empty text has no units. Rows with a null id rank last. Equal rows of
@@ -37,13 +37,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = re.compile(r"\S+")
 #: Different words whose hashes a task remembers.
 _CACHE = 500_000
+#: Units of a block, within which equal digests are one row.
+BLOCK_UNITS = 200_000
 
 
 @dataclass(frozen=True)
@@ -102,42 +105,73 @@ def text_units(text: str, rule: LineRule, seen: dict[str, int]) -> list[tuple[in
 
 
 def line_units(docs: DataFrame, rule: LineRule, key: str, text: str) -> DataFrame:
-    """id, digest, whether it is a line, start and end of every unit."""
+    """Digests by block of documents: id, digest, line, start and end of the first occurrence, and the others in `later`.
+
+    A unit that a block holds many times is one row of it, so a digest has at
+    most one row per `BLOCK_UNITS` units of the corpus.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("digest", T.LongType()), T.StructField("line", T.BooleanType()),
-                           T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    place = [T.StructField("id", kind), T.StructField("line", T.BooleanType()), T.StructField("start", T.LongType()),
+             T.StructField("end", T.LongType())]
+    schema = T.StructType([T.StructField("digest", T.LongType()), *place, T.StructField("later", T.ArrayType(T.StructType(place)))])
+    names = [f.name for f in place]
+    empty = pa.array([], to_arrow_type(kind))
+
+    def block(ids: pa.Array, ranks: np.ndarray, row: list[int], units: list[tuple]) -> pa.RecordBatch:
+        digests, lines, starts, ends = (np.array(c) for c in zip(*units)) if units else (np.zeros(0),) * 4
+        digests, row_at = digests.astype(np.uint64).view(np.int64), np.array(row, np.int64)
+        order = np.lexsort((starts, ranks[row_at], digests))
+        first = np.diff(digests[order], prepend=-1) != 0
+        first[:1] = True
+        heads, rest = order[first], order[~first]
+        ends_at = np.cumsum(~first)[np.append(np.flatnonzero(first)[1:], len(first)) - 1] if len(first) else np.zeros(0, np.int64)
+
+        def columns(at: np.ndarray) -> list[pa.Array]:
+            return [ids.take(pa.array(row_at[at])) if len(ids) else empty, pa.array(lines[at].astype(bool)),
+                    pa.array(starts[at].astype(np.int64)), pa.array(ends[at].astype(np.int64))]
+
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends_at), pa.int32()), pa.StructArray.from_arrays(columns(rest), names),
+                                         mask=pa.array(np.diff(ends_at, prepend=0) == 0))
+        return pa.RecordBatch.from_arrays([pa.array(digests[heads]), *columns(heads), lists], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = {}
         for batch in batches:
-            row, units = [], []
-
-            def block() -> pa.RecordBatch:
-                digests, lines, starts, ends = zip(*units) if units else ((), (), (), ())
-                return pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)),
-                     pa.array(lines, pa.bool_()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema.names)
-
+            row, units, ids = [], [], batch.column(0)
+            ranks = pc.rank(ids, null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
             for i, text in enumerate(batch.column(1)):
                 found = text_units(text.as_py() or "", rule, seen)
                 row += [i] * len(found)
                 units += found
-                if len(units) > 100_000:
-                    yield block()
+                if len(units) > BLOCK_UNITS:
+                    yield block(ids, ranks, row, units)
                     row, units = [], []
-            yield block()
+            if units:
+                yield block(ids, ranks, row, units)
 
     return rows.mapInArrow(run, schema)
 
 
 def repeated_lines(docs: DataFrame, rule: LineRule = LineRule(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every unit that occurs earlier: id, line, start, end, and the document and start of the occurrence that stays."""
+    """Every unit that occurs earlier: id, line, start, end, and the document and start of the occurrence that stays.
+
+    One shuffle by digest: the first row of a digest names the occurrence that
+    stays, and only what repeats goes on.
+    """
     units = line_units(docs, rule, key, text)
-    rank = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("start").alias("start"))
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    return units.join(first, "digest").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("start") == F.col("first.start")))).select(
-        "id", "line", "start", "end", F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"))
+    by_digest = Window.partitionBy("digest").orderBy(F.col("id").isNull(), "id", "start")
+    units = units.withColumn("first", F.first(F.struct("id", "start")).over(by_digest))
+
+    def stays(place) -> Column:
+        return place["id"].eqNullSafe(F.col("first.id")) & (place["start"] == F.col("first.start"))
+
+    own = F.struct("id", "line", "start", "end")
+    again = units.where(F.col("later").isNotNull() | ~stays({c: F.col(c) for c in ("id", "start")}))
+    places = again.select("first", F.explode(F.concat(F.array(own), F.coalesce("later", F.array().cast(again.schema["later"].dataType)))).alias("u"))
+    return places.where(~stays(F.col("u"))).select("u.*", F.col("first.id").alias("kept_id"), F.col("first.start").alias("kept_start"))
 
 
 def removed_spans(text: str, units: list[dict], rule: LineRule) -> list[dict]:
