@@ -31,8 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Characters of text that a task encodes at once; a longer text is encoded alone.
-SLICE_CHARS = 3_000_000
+from panelspark.llm.common import by_bytes
+
+#: Bytes of text that a task encodes at once; a longer text is encoded alone.
+SLICE_BYTES = 1_000_000
+#: Words, and characters in them, beyond which a task forgets what it has encoded.
+KNOWN_UNITS, KNOWN_CHARS = 200_000, 4_000_000
 
 NONE = -1
 #: Unicode white space. A text falls into runs of it and the words between; only those are split by the pattern.
@@ -108,6 +112,7 @@ class ByteBpe:
         import regex
 
         self.split = regex.compile(pattern).findall
+        self._forget()
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line.strip())}
         self.size = max(self.ranks.values()) + 1
         self.token = [b""] * self.size
@@ -291,41 +296,39 @@ class ByteBpe:
         return out, counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Equal words of the slice are split once, equal pre-tokens merged once.
+        """Ids of each text. Words are split and merged once, and remembered from slice to slice up to a bound.
 
         The pattern joins one space to the word after it and else keeps words and
         white space apart, so a word with that space can be split by itself.
         """
-        unit_code = defaultdict(itertools.count().__next__)
-        codes = [np.array(list(map(unit_code.__getitem__, _UNITS(text))), dtype=np.int32) for text in texts]
-        if not unit_code:
-            return [np.empty(0, dtype=np.int32) for _ in texts]
-        code = defaultdict(itertools.count().__next__)
-        split = [[code[p] for p in self.split(unit)] for unit in unit_code]
-        ids, sizes = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in code])
-        chosen = np.fromiter(itertools.chain.from_iterable(split), dtype=np.int64)
-        ids = _gather(ids, (np.cumsum(sizes) - sizes)[chosen], sizes[chosen])
-        pieces = np.array([len(p) for p in split])
-        sizes = np.add.reduceat(sizes[chosen], np.cumsum(pieces) - pieces)
-        starts = np.cumsum(sizes) - sizes
-        return [_gather(ids, starts[own], sizes[own]) for own in codes]
+        if len(self._unit_sizes) > KNOWN_UNITS or self._unit_chars > KNOWN_CHARS:
+            self._forget()
+        codes = [np.array(list(map(self._unit_code.__getitem__, _UNITS(text))), dtype=np.int32) for text in texts]
+        fresh = list(itertools.islice(reversed(self._unit_code), len(self._unit_code) - len(self._unit_sizes)))[::-1]
+        if fresh:
+            code = defaultdict(itertools.count().__next__)
+            split = [[code[p] for p in self.split(unit)] for unit in fresh]
+            ids, sizes = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in code])
+            chosen = np.fromiter(itertools.chain.from_iterable(split), dtype=np.int64)
+            ids = _gather(ids, (np.cumsum(sizes) - sizes)[chosen], sizes[chosen])
+            pieces = np.array([len(p) for p in split])
+            sizes = np.add.reduceat(sizes[chosen], np.cumsum(pieces) - pieces)
+            self._unit_ids = np.concatenate([self._unit_ids, ids])
+            self._unit_sizes = np.concatenate([self._unit_sizes, sizes])
+            self._unit_starts = np.cumsum(self._unit_sizes) - self._unit_sizes
+            self._unit_chars += sum(map(len, fresh))
+        return [_gather(self._unit_ids, self._unit_starts[own], self._unit_sizes[own]) for own in codes]
+
+    def _forget(self) -> None:
+        """Start anew with no words known."""
+        self._unit_code = defaultdict(itertools.count().__next__)
+        self._unit_ids, self._unit_chars = np.empty(0, dtype=np.int32), 0
+        self._unit_sizes = self._unit_starts = np.empty(0, dtype=np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
-def slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most `limit` characters, or one longer text."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        if i > start and total + len(text) > limit:
-            yield start, i
-            start, total = i, 0
-        total += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encoder(docs: DataFrame, path: str, pattern: str):
     """The vocabulary file at `path`, sent once to each executor and parsed once per task."""
     with open(path, "rb") as f:
@@ -346,14 +349,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, columns: dict[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = make()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for start, end in slices(texts):
-                made = [row(bpe, ids) for ids in bpe.encode(texts[start:end])]
-                values = zip(*made) if made else [[] for _ in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start).cast(arrow.field(0).type),
-                     *[pa.array(v, f.type) for v, f in zip(values, list(arrow)[1:])]], schema=arrow)
+        for batch in by_bytes(batches, 1, SLICE_BYTES):
+            made = [row(bpe, ids) for ids in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]
+            values = zip(*made) if made else [[] for _ in columns]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(arrow.field(0).type), *[pa.array(v, f.type) for v, f in zip(values, list(arrow)[1:])]],
+                schema=arrow)
 
     return rows.mapInArrow(run, schema)
 

@@ -39,10 +39,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import small, written
+from panelspark.llm.common import by_bytes, small, written
 from panelspark.llm.components import connected_components
 
 _U = np.uint64
+#: Bytes of text that are indexed in one batch, and whose sets leave a task at once.
+INDEX_BYTES, SET_BYTES = 8_000_000, 2_000_000
 #: Documents of a signature in a block; two blocks on average this large are compared at once.
 BLOCK_SETS = 512
 #: Ids that may be broadcast to pick the documents of candidates (8 bytes each).
@@ -164,7 +166,7 @@ def index_sets(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in by_bytes(batches, 1, INDEX_BYTES):
             seen: set[bytes] = set()
             sizes, digests, of_row, least, parts, owners = [], [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -208,7 +210,7 @@ def set_arrays(docs: DataFrame, ids: DataFrame, rule: JaccardRule, key: str, tex
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 1, SET_BYTES):
             sets = [shingles(t, rule.words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), _longs(sets)], schema.names)
 

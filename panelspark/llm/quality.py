@@ -26,7 +26,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import free_name, small, written
+from panelspark.llm.common import by_bytes, free_name, small, written
+
+#: Bytes of text that a task counts at once.
+SLICE_BYTES = 4_000_000
 
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -94,7 +97,7 @@ def count_texts(docs: DataFrame, text: str = "text", counts: str = "counts") ->
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, at, SLICE_BYTES):
             rows = np.array([text_counts(t) for t in batch.column(at).to_pylist()], dtype=np.int64).reshape(-1, len(COUNTS))
             struct = pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(COUNTS))], list(COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*kept, counts])

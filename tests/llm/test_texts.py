@@ -336,3 +336,26 @@ def test_block_globs_see_canonical_urls(spark):
     assert [rows[i].verdict for i in range(len(cases))] == [v for _, v in cases]
     assert rows[0].path == "/WP-Login.php" and rows[6].rule is None
     assert [url_globs.canonical("h", p) for p in ("", "/", "/a/..", "/a/b/..", "/../a/./b", "/a//b")] == ["h", "h/", "h/", "h/a/", "h/a/b", "h/a//b"]
+
+
+def test_words_are_remembered_and_forgotten(bpe, reference_encoder, monkeypatch):
+    texts = [prose(i % 7, 50) + " a" * (i % 3) + "é" * i for i in range(40)]
+    want = [reference_encoder.encode(t, disallowed_special=()) for t in texts]
+    for units, chars in ((10**6, 10**6), (20, 10**6), (10**6, 50)):
+        monkeypatch.setattr(byte_bpe, "KNOWN_UNITS", units)
+        monkeypatch.setattr(byte_bpe, "KNOWN_CHARS", chars)
+        bpe._forget()
+        got = [ids.tolist() for i in range(0, 40, 3) for ids in bpe.encode(texts[i:i + 3])]
+        assert got == want
+    assert [x.tolist() for x in bpe.encode(["", ""])] == [[], []] and bpe.encode([]) == []
+
+
+def test_stretches_of_batches():
+    import pyarrow as pa
+
+    from panelspark.llm.common import by_bytes
+
+    texts = ["a" * 10, None, "", "b" * 35, "c" * 4, "d" * 4, "é" * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    parts = [b.column(0).to_pylist() for b in by_bytes(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]), 1, 20)]
+    assert parts == [[0, 1, 2], [3], [4, 5, 6], [], [3], [4]]
