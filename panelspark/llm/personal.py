@@ -1,25 +1,33 @@
 """Personal data: base patterns and a span classifier from weak supervision.
 
 Candidates are looser than the base patterns: anything with an @ sign between
-words, and groups of at least seven digits. Labelers vote for or against each
-candidate or abstain: patterns, a checksum, gazetteers of domains and dialling
-codes, words around the candidate, and its neighbouring characters. Equal vote
-patterns are counted over all documents; expectation-maximisation over these
-counts estimates how reliable each labeler is, and the posteriors train a
-logistic classifier of votes and shape. Candidates it accepts that no base span
-covers are reported as kind `model`.
+words, and groups of at least seven digits. Each is of one kind by its form:
+mail, dotted quad, long number or telephone number. Labelers vote for or against
+each candidate or abstain: patterns, a checksum, gazetteers of domains and
+dialling codes, words before the candidate, and its neighbouring characters.
+Equal vote patterns are counted over all documents; expectation-maximisation
+over these counts estimates for each kind how reliable each labeler is, and the
+posteriors train a logistic classifier of votes and shape for each kind.
+Labelers of different kinds never vote together, so one estimate for all kinds
+could take a whole kind for the other class; here a labeler is at worst without
+weight, never taken for its opposite. Candidates that the classifier accepts and
+no base span covers are reported as kind `model`.
 
 All of it is column expressions. Only vote patterns, of which there are at most
 `PATTERNS`, reach the driver. Positions are code points, ends exclusive. The
 patterns are possessive and start at run boundaries, so they are linear in the
 text and never recurse.
 
-A null text counts as empty. Repeated rows are judged one by one; an empty table
-gives an empty result; other columns are ignored.
+A null text counts as empty. A very long text is one row of one task, with its
+spans as an array. Overlapping spans are all listed; a score equal to the
+threshold is accepted. Repeated rows are judged one by one and all count in the
+estimates; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +54,9 @@ DIALLING = r"^\+(?:1|7|20|27|3[0-9]|4[0-9]|5[0-9]|6[0-6]|8[1246]|9[0-5])(?![0-9]
 NEAR_YES = (r"(?i)\b(?:e-?mail|mail|correo|courriel|phone|tel|telefon|mobile|handy|fax|call|contact|kontakt|card|visa|karte|"
             r"carte|tarjeta|iban|ip|host|server)\b[^A-Za-z]{0,4}\w{0,12}[^A-Za-z]{0,4}$")
 NEAR_NO = r"(?i)(?:\b(?:version|isbn|page|seite|order|invoice|total|price|token|key|hash|id|eur|usd)\b[^A-Za-z]{0,4}|[$€£#]\s?)$"
-#: Votes are -1, 0 or 1, so this bounds the patterns: 3 ** labelers x shapes.
+#: Forms of telephone numbers without a country code: a leading 0, or groups of 3, 3 and 4 digits.
+LOCAL = r"^\(?0[1-9]|^\(?[0-9]{3}\)?[\x20./-]{1,2}[0-9]{3}[\x20./-][0-9]{4}$"
+#: Each kind has few labelers, and votes are -1, 0 or 1: 3 ** labelers x shapes is far below this.
 PATTERNS = 60_000
 
 
@@ -104,104 +114,165 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (vote.otherwise(0) if no is None else vote.when(no, -1).otherwise(0)).cast("int")
 
 
-def _labelers(value: Column, left: Column, right: Column) -> dict[str, Column]:
-    """The vote of each labeler."""
+def _labelers(value: Column, left: Column, right: Column) -> tuple[Column, dict[str, Column]]:
+    """The kind of a candidate and the vote of each labeler; those of other kinds abstain."""
     digits = _digits(value)
-    n, mail = F.length(digits), value.contains("@")
-    number = ~mail
-    separated = value.rlike(r"[\x20()/-]")
-    quad = value.rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$")
-    card = number & (n >= 13) & (n <= 19) & ~quad
-    return {
+    n, plus = F.length(digits), value.startswith("+")
+    kind = (F.when(value.contains("@"), "mail").when((n < 13) & value.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "quad")
+            .when(plus | value.startswith("(") | (n < 13), "telephone").otherwise("number"))
+    mail, quad, phone, number = (kind == k for k in FORMS)
+    numbers = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
+    checked = F.exists(F.concat(F.array(digits), numbers), lambda d: F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))
+    glued = left.rlike(r"[A-Za-z0-9_]$") | right.rlike(r"^[A-Za-z0-9_%]")
+    return kind, {
         "mail_pattern": _vote(mail & value.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$"), mail),
-        "quad_pattern": _vote(number & quad, number & value.rlike(r"^[0-9]+\.[0-9.]*$")),
-        "checksum": F.when(card, F.when(luhn(digits), 1).otherwise(-1)).otherwise(0),
-        "phone_pattern": _vote(number & (value.startswith("+") | value.startswith("(")) & (n >= 9) & (n <= 15), number & (n < 13) & ~separated & ~quad),
+        "quad_pattern": _vote(quad & value.rlike(rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"), quad),
+        "checksum": _vote(number & checked, number),
+        "phone_pattern": _vote(phone & n.between(9, 15) & (plus | value.rlike(LOCAL)), phone),
         "domain_gazetteer": _vote(mail & value.rlike(DOMAINS), mail),
-        "dialling_gazetteer": _vote(value.rlike(DIALLING)),
+        "dialling_gazetteer": _vote(phone & plus & value.rlike(DIALLING), phone & plus),
         "words_before": _vote(left.rlike(NEAR_YES), left.rlike(NEAR_NO)),
-        "neighbours": _vote(F.lit(False), left.rlike(r"[A-Za-z0-9_]$") | right.rlike(r"^[A-Za-z0-9_%]")),
+        "neighbours": _vote(F.lit(False), glued),
     }
 
 
+#: Kinds of candidates.
+FORMS = ("mail", "quad", "telephone", "number")
 LABELERS = ("mail_pattern", "quad_pattern", "checksum", "phone_pattern", "domain_gazetteer", "dialling_gazetteer", "words_before", "neighbours")
 #: Shape of a candidate: digits in four steps, and whether it has separators.
 SHAPES = ("few_digits", "some_digits", "many_digits", "separated")
 
 
 def candidates(text: Column) -> Column:
-    """Array of candidates: start, end, and their votes and shape."""
+    """Array of candidates: start, end, kind, and their votes and shape."""
 
     def judged(m: Column) -> Column:
         value, left = m["value"], F.substring(text, F.greatest(m["start"] - 39, F.lit(1)).cast("int"), F.least(m["start"], F.lit(40)).cast("int"))
         right = F.substring(text, (m["end"] + 1).cast("int"), F.lit(2))
-        votes = _labelers(value, left, right)
+        form, votes = _labelers(value, left, right)
         n = F.length(_digits(value))
         shape = {"few_digits": n < 7, "some_digits": (n >= 7) & (n < 13), "many_digits": n >= 13, "separated": value.rlike(r"[\x20()./-]")}
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), *[votes[v].alias(v) for v in LABELERS],
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), form.alias("form"), *[votes[v].alias(v) for v in LABELERS],
                         *[shape[s].cast("int").alias(s) for s in SHAPES])
 
     return F.transform(matches(text, *LOOSE), judged)
 
 
-class SpanModel:
-    """Labeler reliabilities and the classifier trained on their posteriors."""
+@dataclass
+class FormModel:
+    """Of one kind of candidate: per labeler the chance of a yes for personal and for other data, given that it votes; and the classifier."""
 
-    def __init__(self, reliabilities: dict[str, tuple[float, float]], weights: dict[str, float], bias: float, threshold: float):
-        self.reliabilities, self.weights, self.bias, self.threshold = reliabilities, weights, bias, threshold
+    reliabilities: dict[str, tuple[float, float]]
+    weights: dict[str, float]
+    bias: float
 
-    def accepts(self, candidate: Column) -> Column:
+    def log_odds(self, candidate: Column) -> Column:
         score = F.lit(self.bias)
         for name in LABELERS:
             score = score + F.when(candidate[name] == 1, F.lit(self.weights[name + "+"])).when(
                 candidate[name] == -1, F.lit(self.weights[name + "-"])).otherwise(F.lit(0.0))
         for name in SHAPES:
             score = score + candidate[name] * F.lit(self.weights[name])
-        return 1 / (1 + F.exp(-score)) >= self.threshold
+        return score
 
 
-def _expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each vote pattern, and per class and labeler the chances of -1, 0 and 1.
+@dataclass
+class SpanModel:
+    """One model per kind of candidate; kinds without any candidate have none and accept nothing."""
+
+    forms: dict[str, FormModel]
+    threshold: float
+
+    def accepts(self, candidate: Column) -> Column:
+        score = F.lit(None).cast("double")
+        for form, model in self.forms.items():
+            score = F.when(candidate["form"] == form, model.log_odds(candidate)).otherwise(score)
+        return F.coalesce(1 / (1 + F.exp(-score)) >= self.threshold, F.lit(False))
 
-    The first posterior is the majority of the votes; abstaining is part of the
-    model. A small count for each outcome keeps chances off 0 and 1.
+
+#: Weight, as a share of the votes, of the belief that labelers are right 19 times of 20 and three candidates of ten are personal.
+BELIEF = 0.1
+
+
+def _reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expectation-maximisation over the vote patterns of one kind.
+
+    Per class (other, personal) and labeler the chance of a yes, given a vote; the
+    posterior of each pattern; the share of personal data. Abstaining says nothing.
+    The first posterior is the majority of the votes. A labeler whose yes would speak
+    for the other class gets one chance for both classes: it loses its say.
     """
     total = votes.sum(axis=1)
     post = np.where(total > 0, 0.9, np.where(total < 0, 0.1, 0.3))
+    voted, yes = (votes != 0) * counts[:, None], (votes == 1) * counts[:, None]
+    mass = BELIEF * voted.sum(axis=0) + 1
     for _ in range(rounds):
-        chances = np.empty((2, votes.shape[1], 3))
-        for y, weight in ((0, (1 - post) * counts), (1, post * counts)):
-            for v in (-1, 0, 1):
-                chances[y, :, v + 1] = ((votes == v) * weight[:, None]).sum(axis=0) + 1
-            chances[y] /= chances[y].sum(axis=1, keepdims=True)
-        prior = (np.array([((1 - post) * counts).sum(), (post * counts).sum()]) + 1) / (counts.sum() + 2)
-        at = np.arange(votes.shape[1])
-        logs = [np.log(prior[y]) + np.log(chances[y][at[None, :], votes + 1]).sum(axis=1) for y in (0, 1)]
-        post = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-    return post, chances
+        sides = ((1 - post)[:, None], post[:, None])
+        ups = [(yes * w).sum(axis=0) + mass * right for w, right in zip(sides, (0.05, 0.95))]
+        alls = [(voted * w).sum(axis=0) + mass for w in sides]
+        chances = np.array([u / a for u, a in zip(ups, alls)])
+        pooled = (ups[0] + ups[1]) / (alls[0] + alls[1])
+        chances = np.where(chances[1] >= chances[0], chances, pooled)
+        share = float(((post * counts).sum() + BELIEF * counts.sum() * 0.3 + 0.3) / ((1 + BELIEF) * counts.sum() + 1))
+        post = _posterior(votes, chances, share)
+    return chances, post, share
+
+
+def _posterior(votes: np.ndarray, chances: np.ndarray, share: float) -> np.ndarray:
+    for_yes, for_no = np.log(chances[1] / chances[0]), np.log((1 - chances[1]) / (1 - chances[0]))
+    odds = np.log(share / (1 - share)) + np.where(votes == 1, for_yes, np.where(votes == -1, for_no, 0.0)).sum(axis=1)
+    return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+
+
+def _logistic(x: np.ndarray, target: np.ndarray, share: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton steps with a small penalty; features whose weight has the wrong sign are left out."""
+    use = np.ones(x.shape[1], dtype=bool)
+    while True:
+        z = np.concatenate((x[:, use], np.ones((len(x), 1))), axis=1)
+        w = np.zeros(z.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            hessian = (z * (share * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(len(w))
+            w = w - np.clip(np.linalg.solve(hessian, z.T @ (share * (p - target)) + 1e-4 * w), -2, 2)
+        full = np.zeros(x.shape[1])
+        full[use] = w[:-1]
+        wrong = full * signs < 0
+        if not wrong.any():
+            return full, float(w[-1])
+        use &= ~wrong
+
+
+def _fit_form(votes: np.ndarray, shapes: np.ndarray, counts: np.ndarray) -> FormModel:
+    """The model of one kind from its vote patterns and how often each occurs.
+
+    Votes that occur in no candidate enter the training with the posterior that the
+    belief gives them, in single votes of a tenth of the whole weight, so that the classifier
+    knows what to make of them.
+    """
+    chances, post, share = _reliabilities(votes, counts)
+    n = votes.shape[1]
+    single = np.concatenate((np.eye(n, dtype=int), -np.eye(n, dtype=int), np.zeros((1, n), dtype=int)))
+    usual = np.repeat((shapes * counts[:, None]).sum(axis=0, keepdims=True) / counts.sum(), len(single), axis=0)
+    every, target = np.concatenate((votes, single)), np.concatenate((post, _posterior(single, chances, share)))
+    x = np.concatenate(((every == 1), (every == -1), np.concatenate((shapes, usual))), axis=1).astype(float)
+    weight = np.concatenate((counts / counts.sum(), np.full(len(single), BELIEF / len(single))))
+    w, b = _logistic(x, target, weight, np.repeat([1, -1, 0], (n, n, shapes.shape[1])))
+    keys = [f"{v}+" for v in LABELERS] + [f"{v}-" for v in LABELERS] + list(SHAPES)
+    return FormModel({v: (float(chances[1, i]), float(chances[0, i])) for i, v in enumerate(LABELERS)}, dict(zip(keys, map(float, w))), b)
 
 
 def fit_spans(texts: DataFrame, text: str = "text", threshold: float = 0.5) -> SpanModel:
     """The model of all candidates of all texts."""
-    names = [*LABELERS, *SHAPES]
+    names = ["form", *LABELERS, *SHAPES]
     found = texts.select(F.inline(candidates(F.coalesce(F.col(text), F.lit("")))))
     rows = bounded_rows(found.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names), PATTERNS, "vote patterns")
-    weights = {f"{v}{s}": 0.0 for v in LABELERS for s in "+-"} | {s: 0.0 for s in SHAPES}
-    if not rows:
-        return SpanModel({}, weights, -1.0, threshold)
-    votes = np.array([[r[v] for v in LABELERS] for r in rows])
-    shapes = np.array([[r[s] for s in SHAPES] for r in rows], dtype=float)
-    counts = np.array([r["n"] for r in rows], dtype=float)
-    post, chances = _expectation_maximisation(votes, counts)
-    x = np.concatenate(((votes == 1), (votes == -1), shapes), axis=1).astype(float)
-    w, b, share = np.zeros(x.shape[1]), 0.0, counts / counts.sum()
-    for _ in range(2000):  # logistic loss on the posteriors, with a small penalty
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        d = (p - post) * share
-        w, b = w - 1.0 * (x.T @ d + 1e-4 * w), b - 1.0 * d.sum()
-    keys = [f"{v}+" for v in LABELERS] + [f"{v}-" for v in LABELERS] + list(SHAPES)
-    reliabilities = {v: (float(chances[1, i, 2]), float(chances[0, i, 2])) for i, v in enumerate(LABELERS)}
-    return SpanModel(reliabilities, dict(zip(keys, map(float, w))), float(b), threshold)
+    forms = {}
+    for form in FORMS:
+        mine = [r for r in rows if r["form"] == form]
+        if mine:
+            forms[form] = _fit_form(np.array([[r[v] for v in LABELERS] for r in mine]), np.array([[r[s] for s in SHAPES] for r in mine], dtype=float),
+                                    np.array([r["n"] for r in mine], dtype=float))
+    return SpanModel(forms, threshold)
 
 
 def _all_spans(base: Column, loose: Column, model: SpanModel) -> Column:

@@ -295,9 +295,45 @@ def test_labeler_reliabilities(spark, make_docs):
     rows = [(i, f"contact mail jo{i}@site{i}.org now, call +1 (407) 555-{1000 + i}") for i in range(80)]
     rows += [(1000 + i, f"order 99{i:05d} and key ab{i:07d}cd") for i in range(80)]
     model = personal.fit_spans(make_docs(rows))
-    yes, no = model.reliabilities["mail_pattern"]
+    yes, no = model.forms["mail"].reliabilities["mail_pattern"]
     assert yes > 10 * no
-    assert model.weights["words_before+"] > 0 > model.weights["neighbours-"]
+    phones = model.forms["telephone"]
+    assert phones.weights["words_before+"] > 0 > phones.weights["neighbours-"]
+
+
+def no_labeler_inverts(model):
+    for form in model.forms.values():
+        assert all(yes >= no for yes, no in form.reliabilities.values())
+        assert all(form.weights[v + "+"] >= 0 >= form.weights[v + "-"] for v in personal.LABELERS)
+
+
+def with_checksum(digits):
+    return next(f"{digits}{c}" for c in range(10) if valid("card", f"{digits}{c}"))
+
+
+@pytest.mark.parametrize("cards, junk", [(170, 70), (20, 200), (5, 0), (0, 150)])
+def test_kinds_are_never_inverted_and_unusual_forms_are_found(make_docs, cards, junk):
+    """Card numbers are told from other long numbers, whichever are more; forms that no base pattern covers are found by what surrounds them."""
+    rng = random.Random(cards)
+
+    def bad_number():
+        good = with_checksum(f"{rng.randrange(10**14, 10**15)}")
+        return good[:-1] + str((int(good[-1]) + rng.randint(1, 9)) % 10)
+
+    rows = [(i, f"the river {with_checksum(rng.randrange(10**14, 10**15))} of stone") for i in range(cards)]
+    rows += [(1000 + i, f"the river {bad_number()} of stone") for i in range(junk)]
+    rows += [(2000 + i, f"maple +1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)} and ab{rng.randrange(10**9)}cd jo{i}@mail{i}.example.com") for i in range(150)]
+    plain = len(rows)
+    hidden = ["call (212) 555-0147 now", "Telefon 030 12345678 abends", "card 4111.1111.1111.1111 kept", "tel 212-555-0189."]
+    rows += [(5000 + i, text) for i, text in enumerate(hidden)]
+    clean = ["on 2019-04-01 2020 it rained", "invoice 12345678 paid", "key ab1234567cd", "page 100-200-300 of it", "about 12 345 678 stones"]
+    rows += [(6000 + i, text) for i, text in enumerate(clean)]
+    docs = make_docs(rows)
+    model = personal.fit_spans(docs)
+    no_labeler_inverts(model)
+    found = {r.doc_id: [s for s in r.spans if s.kind == "model"] for r in personal.find_personal(docs.select("doc_id", "text"), model).collect()}
+    assert all(len(found[5000 + i]) == 1 for i in range(len(hidden))), {t: found[5000 + i] for i, t in enumerate(hidden)}
+    assert not any(found[k] for k, *_ in rows[:plain]) and not any(found[6000 + i] for i in range(len(clean)))
 
 
 def test_threshold_keeps_recall_of_few_overlapping_findings():
