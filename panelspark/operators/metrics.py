@@ -84,26 +84,62 @@ def train_test_gap(df: DataFrame, truth: str, predicted: str, is_test: str = "is
     return both.withColumn("train_test_gap", F.col("train_accuracy") - F.col("test_accuracy"))
 
 
-def rank_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = (), ranges: int = 128) -> DataFrame:
+#: Distinct scores that a range is meant to hold.
+RANGE_SCORES = 50_000
+
+#: Most ranges of a group; cuts are searched in two steps of the square root of it.
+MAX_RANGES = 1024
+
+
+def score_ranges(counts: DataFrame, score: str, by: Sequence[str] = (), target: int = RANGE_SCORES) -> DataFrame:
+    """`counts` (one row per group and distinct score) with `_r`, the score's range within its group.
+
+    Each group is cut at quantiles of its own distinct scores, into as many
+    ranges of about `target` scores as it needs, at most MAX_RANGES. Ranges
+    follow the order of the scores. A NULL score is in range 0; NaN is greatest.
+    """
+    step = int(MAX_RANGES ** 0.5)
+    points = F.array(*[F.lit(i / MAX_RANGES) for i in range(1, MAX_RANGES)])
+    keys = [f"_k{i}" for i in range(len(by))]
+    groups = counts.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(
+        F.count(score).alias("_n"), F.percentile_approx(score, points, F.lit(8 * MAX_RANGES)).alias("_all"))
+    every = F.floor(F.lit(MAX_RANGES) / F.least(F.ceil(F.col("_n") / target), F.lit(MAX_RANGES)))
+    thinned = F.filter("_all", lambda c, i: (i + 1) % F.col("_every") == 0)
+    groups = groups.withColumn("_every", F.greatest(every, F.lit(1))).select(
+        *keys, F.coalesce(thinned, F.array().cast("array<double>")).alias("_cuts"))
+    groups = groups.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % step == step - 1))
+    if by:
+        same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+        on = same[0]
+        for other in same[1:]:
+            on = on & other
+        cut = counts.join(groups, on).drop(*keys)
+    else:
+        one = groups.select(F.struct("_cuts", "_coarse").alias("_g")).scalar()
+        cut = counts.withColumn("_g", one).withColumns({"_cuts": F.col("_g._cuts"), "_coarse": F.col("_g._coarse")}).drop("_g")
+    lower = F.coalesce(F.size(F.filter("_coarse", lambda c: c < F.col(score))), F.lit(0)) * step
+    fine = F.slice("_cuts", F.col("_lower") + 1, step - 1)
+    inside = F.size(F.filter(fine, lambda c: c < F.col(score)))
+    return cut.withColumn("_lower", lower).withColumn("_r", F.col("_lower") + inside).drop("_cuts", "_coarse", "_lower")
+
+
+def rank_auc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = (), target: int = RANGE_SCORES) -> DataFrame:
     """Binary ROC AUC per group with average ranks for ties; NULL where one side is empty.
 
-    Rows shrink to distinct scores first. These are cut into score ranges, each
-    summed on its own; range totals then carry the ranks below, so no task sees
-    all scores of a group.
+    Rows shrink to distinct scores first. Each group's scores are cut into ranges
+    of about `target` of its own, and every range is summed by itself; range
+    totals then carry the ranks below, so no task sees all scores of a group.
     """
     pos = positive.cast("bigint")
     counts = df.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.sum(pos).alias("_pos"), F.sum(1 - pos).alias("_neg"))
-    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = counts.agg(F.percentile_approx("_s", points, F.lit(10 * ranges))).scalar()
-    ranged = counts.withColumn("_cuts", cuts).withColumn(
-        "_r", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
+    ranged = score_ranges(counts, "_s", by, target)
     below = Window.partitionBy(*by, "_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     inside = ranged.withColumn("_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
     parts = inside.groupBy(*by, "_r").agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("_u"),
         F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    # At most `ranges` rows per group from here on.
+    # At most MAX_RANGES rows per group from here on.
     before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offset = parts.withColumn("_before", F.coalesce(F.sum("_neg").over(before), F.lit(0)))
     total = offset.groupBy(*by).agg(F.sum(F.col("_u") + F.col("_pos") * F.col("_before")).alias("_u"),

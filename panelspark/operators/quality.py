@@ -49,6 +49,34 @@ def sample_counts(counts: DataFrame, cap: int, n: str = "n_explained") -> DataFr
                                       (F.count_distinct(n) > 1).alias("uneven"), F.min(n).alias("least"))
 
 
+def sample_targets(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per wave: zones whose explained count is not what the run asked for, and the least count.
+
+    `counts` is `(wave, zone, n_total, n_explained)` and `limits` is `(wave, cap)`,
+    one row per wave. A zone is to hold its cap, or all its households where it
+    has fewer; a NULL cap asks for all. Counts are uneven where zones that reach
+    the cap differ; without a cap they may differ. A wave without limits is wrong
+    in every zone.
+    """
+    known = F.col("_limited") & (F.col("n_explained") == F.least("cap", "n_total"))  # least skips NULL
+    full = F.col("cap").isNotNull() & (F.col("n_total") >= F.col("cap"))
+    return counts.join(limits.withColumn("_limited", F.lit(True)), "wave", "left").groupBy("wave").agg(
+        F.count_if(~F.coalesce(known, F.lit(False))).alias("n_off"),
+        (F.count_distinct(F.when(full, F.col("n_explained"))) > 1).alias("uneven"), F.min("n_explained").alias("least"))
+
+
+def stored_households(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per wave: cells of a stored zone table whose `n_households` is not the zone's explained count.
+
+    `counts` is `(wave, zone, n_explained)`. A zone that only one side has counts
+    as one wrong cell (zones without explained households need no cells), as does
+    a NULL count.
+    """
+    explained = counts.where("n_explained > 0").select("wave", "zone", "n_explained")
+    same = F.coalesce(F.col("n_households") == F.col("n_explained"), F.lit(False))
+    return table.join(explained, ["wave", "zone"], "full").groupBy("wave").agg(F.count_if(~same).alias("n_wrong"))
+
+
 def forbidden_features(table: DataFrame, forbidden: Sequence[str]) -> DataFrame:
     """Forbidden features that a result still contains, per wave."""
     return table.groupBy("wave").agg(F.count_if(F.col("feature").isin(*forbidden)).alias("n_forbidden"))

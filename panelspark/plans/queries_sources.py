@@ -46,14 +46,11 @@ def waves_union(spark, sf):
 @query("s4_shared_section", with_sql("""
 SELECT hhid, household_size, l_quantity AS head_age, l_returnflag AS education FROM head""", panel.SQL_HEADS))
 def shared_section(spark, sf):
-    line = table(spark, sf, "lineitem")
-    b, c = line, line
-    demography = assemble.head_rows(b, "l_orderkey", "l_linenumber", panel.MEMBER_ORDER, ["l_quantity"])
-    education = assemble.head_rows(c, "l_orderkey", "l_linenumber", panel.MEMBER_ORDER, ["l_returnflag"],
-                                   size_name=None)
-    return demography.join(education, "l_orderkey", "left").select(
-        F.col("l_orderkey").alias("hhid"), "household_size", F.col("l_quantity").alias("head_age"),
-        F.col("l_returnflag").alias("education"))
+    """Both sections read the same file, so one aggregation finds the head row of both."""
+    heads = assemble.head_rows(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber", panel.MEMBER_ORDER,
+                               ["l_quantity", "l_returnflag"])
+    return heads.select(F.col("l_orderkey").alias("hhid"), "household_size", F.col("l_quantity").alias("head_age"),
+                        F.col("l_returnflag").alias("education"))
 
 
 def _zone_table(spark, sf):

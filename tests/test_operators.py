@@ -102,11 +102,34 @@ def test_auc_ties_and_empty_side(spark):
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, score)], "y int, s double")
     pos, neg = score[y == 1], score[y == 0]
     want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
-    for ranges in (2, 5, 128):
-        assert metrics.rank_auc(df, "s", F.col("y") == 1, ranges=ranges).first()["auc"] == pytest.approx(want)
+    for target in (1, 3, 50_000):
+        assert metrics.rank_auc(df, "s", F.col("y") == 1, target=target).first()["auc"] == pytest.approx(want)
     assert metrics.rank_auc(df.where("y = 1"), "s", F.col("y") == 1).first()["auc"] is None
 
 
+def test_auc_cuts_follow_each_group(spark):
+    """One group's scores all lie between two neighbouring scores of the other."""
+    rng = np.random.default_rng(1)
+    wide, narrow = rng.random(4000) * 1000, 500 + rng.random(3000) * 1e-6
+    y = rng.integers(0, 2, 7000)
+    rows = [(g, float(s), int(v)) for (g, s), v in zip([("wide", s) for s in wide] + [(None, s) for s in narrow], y)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    counts = df.groupBy("g", "s").count()
+    sizes = metrics.score_ranges(counts, "s", ["g"], 100).groupBy("g", "_r").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    for g, n in (("wide", 4000), (None, 3000)):
+        parts = sorted(r for r in sizes.where(F.col("g").eqNullSafe(g)).select("_r", "n", "lo", "hi").collect())
+        assert sum(r["n"] for r in parts) == n and max(r["n"] for r in parts) <= 200
+        assert n / 100 <= len(parts) <= 2 * n / 100 + 1
+        assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
+    got = {r["g"]: r["auc"] for r in metrics.rank_auc(df, "s", F.col("y") == 1, ["g"], 100).collect()}
+    for g, s, v in (("wide", wide, y[:4000]), (None, narrow, y[4000:])):
+        want = np.mean(s[v == 1][:, None] > s[v == 0]) + 0.5 * np.mean(s[v == 1][:, None] == s[v == 0])
+        assert got[g] == pytest.approx(want)
+    few = metrics.score_ranges(df.where("g is null").limit(5).select("s"), "s", [], 100)
+    assert {r["_r"] for r in few.collect()} == {0}
+    assert metrics.rank_auc(df.limit(0), "s", F.col("y") == 1, ["g"]).count() == 0
+
+
 def test_ranked_equals_row_number(spark):
     df = spark.range(500).withColumn("g", (F.col("id") % 3 == 0).cast("int"))
     got = {r["id"]: r["draw_rank"] for r in sampling.ranked(df, "id", 7, ["g"], slices=16).collect()}
@@ -414,3 +437,17 @@ def test_background_values_are_the_nearest_observed(spark):
     for j in range(3):
         seen = np.unique(x[:, j])
         assert np.allclose(got[:, j], seen[np.abs(seen[None] - centers[:, j, None]).argmin(axis=1)])
+
+
+def test_sample_targets_and_stored_counts(spark):
+    counts = spark.createDataFrame(
+        [(1, "a", 50, 30), (1, "b", 9, 9), (2, "a", 50, 30), (2, "b", 40, 29), (3, "a", 7, 7), (3, "b", 90, 90), (4, "a", 5, 5)],
+        "wave int, zone string, n_total long, n_explained long")
+    limits = spark.createDataFrame([(1, 30), (2, 30), (3, None)], "wave int, cap long")
+    got = {r["wave"]: (r["n_off"], r["uneven"]) for r in quality.sample_targets(counts, limits).collect()}
+    assert got == {1: (0, False), 2: (1, True), 3: (0, False), 4: (1, False)}
+    cells = spark.createDataFrame(
+        [(1, "a", "x", 30), (1, "a", "y", 30), (1, "b", "x", 9), (2, "a", "x", 30), (2, "a", "y", 31), (3, "a", "x", None),
+         (3, "c", "x", 1)], "wave int, zone string, feature string, n_households long")
+    wrong = {r["wave"]: r["n_wrong"] for r in quality.stored_households(cells, counts.where("wave < 4")).collect()}
+    assert wrong == {1: 0, 2: 2, 3: 3}

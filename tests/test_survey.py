@@ -98,9 +98,15 @@ def test_explain_compare_verify(spark, root, tmp_path):
     sizes = tables["zone_sample_sizes"].where("n_total > 0").collect()
     assert {r["n_explained"] for r in sizes} == {3}
     assert "Zanzibar" in {r["zone"] for r in sizes}
-    report = survey.verify_results(spark, out, cap=3).collect()
-    assert {r["status"] for r in report} == {"PASS"}, report
-    assert len(report) == 5
+    for cap in (None, 3):
+        report = survey.verify_results(spark, out, cap=cap).collect()
+        assert {r["status"] for r in report} == {"PASS"}, report
+        assert len(report) == 7
+    failed = {r["check"] for r in survey.verify_results(spark, out, cap=4).where("status = 'FAIL'").collect()}
+    assert failed == {"sample_cap"}
+    zone_table = results.read_table(spark, f"{out}/explanation", "zone_x_feature")
+    ranks = {r["zone"]: r["zone_rank"] for r in spec.zone_table(spark, settings.attribution.include_islands).collect()}
+    assert {(r["zone"], r["zone_rank"]) for r in zone_table.collect()} <= set(ranks.items())
     comparison = survey.compare_waves(spark, out)
     full = comparison["feature_x_wave"]
     assert full.columns == ["feature", "w4", "best", "position"]
