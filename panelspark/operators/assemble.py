@@ -95,10 +95,11 @@ def assemble_wave(sections: dict[str, DataFrame], wave: int, layout: WaveLayout,
         wanted[rural] = "rural_urban"
     tie = [c for c in order_by if c in a.columns]
     base = first_rows(require_keys(a, hhid), hhid, tie, list(wanted)).withColumnsRenamed(wanted)
-    for name in ("B", "C"):
-        df = sections[name]
-        found = present_columns(df.columns, by_section[name], layout)
-        size = "household_size" if name == "B" else None
+    # Sections that share a file are found in one aggregation.
+    for names in [("B", "C")] if sections["B"] is sections["C"] else [("B",), ("C",)]:
+        df = sections[names[0]]
+        found = present_columns(df.columns, [f for name in names for f in by_section[name]], layout)
+        size = "household_size" if "B" in names else None
         tie = [c for c in order_by if c in df.columns]
         if layout.indid in df.columns:
             part = head_rows(require_keys(df, hhid), hhid, layout.indid, [*tie, layout.indid], list(found),
