@@ -12,6 +12,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,36 @@ def context_totals(histogram: DataFrame) -> DataFrame:
         "n_tokens", "n_docs", at_least.alias("at_least"), tokens.alias("tokens_at_least"),
         (F.col("_docs") - at_least).alias("shorter"), truncated.alias("truncated_total"),
         (F.col("_tokens") - truncated).alias("lost_tokens"), F.floor(upto * 1000 / F.col("_docs")).alias("per_mille"))
+
+
+def totals_at(totals: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """One row per listed context limit, whether or not a document has that length.
+
+    `totals` is the result of `context_totals`. No suffix sum changes between two
+    lengths that occur, so a limit takes those of the next greater length; beyond
+    the longest document nothing is cut. Returns context_limit, at_least,
+    tokens_at_least, truncated_total and lost_tokens; zeros for an empty table.
+    The limits are a short list, answered in one aggregation over the lengths.
+    """
+    row = F.struct("n_tokens", "at_least", "tokens_at_least")
+    found = totals.agg(F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("_total"), F.array(*[
+        F.struct(F.lit(n).cast("bigint").alias("context_limit"), F.min(F.when(F.col("n_tokens") >= n, row)).alias("next"))
+        for n in limits]).alias("_rows"))
+    each = found.select("_total", F.inline("_rows")).select(
+        "_total", "context_limit", *[F.coalesce(F.col(f"next.{c}"), F.lit(0)).alias(c) for c in ("at_least", "tokens_at_least")])
+    lost = F.col("tokens_at_least") - F.col("context_limit") * F.col("at_least")
+    return each.select("context_limit", "at_least", "tokens_at_least", (F.col("_total") - lost).alias("truncated_total"),
+                       lost.alias("lost_tokens"))
+
+
+def length_quantiles(totals: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """`share` and `n_tokens`: the least length that at least this share of all documents does not exceed.
+
+    `totals` is the result of `context_totals`; NULL lengths for an empty table.
+    Shares are taken to the nearest millionth, so ranks are whole numbers.
+    """
+    docs = totals.agg(F.max("at_least").alias("_docs"))
+    upto = (F.col("shorter") + F.col("n_docs")) * 1_000_000
+    return totals.withColumn("_docs", docs.scalar()).agg(F.array(*[
+        F.struct(F.lit(float(q)).alias("share"), F.min(F.when(upto >= F.col("_docs") * round(q * 1_000_000), F.col("n_tokens"))).alias("n_tokens"))
+        for q in shares]).alias("_rows")).select(F.inline("_rows"))

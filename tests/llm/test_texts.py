@@ -83,6 +83,27 @@ def test_length_histogram(spark):
     assert length_histogram.context_totals(length_histogram.length_histogram(df.limit(0))).count() == 0
 
 
+def test_any_limit_and_quantiles(spark):
+    lengths = [0, 0, 3, 5, 5, 5, 1023, 1024, 1025, 2_000_000, 2_000_000, None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, n_tokens long")
+    totals = length_histogram.context_totals(length_histogram.length_histogram(df))
+    own = sorted(n or 0 for n in lengths)
+    limits = [0, 1, 4, 5, 6, 1024, 4096, 2_000_000, 2_000_001, 2**40]
+    rows = {r["context_limit"]: r for r in length_histogram.totals_at(totals, limits).collect()}
+    assert set(rows) == set(limits)
+    for n, r in rows.items():
+        reach = [x for x in own if x >= n]
+        cut = sum(min(x, n) for x in own)
+        assert (r["at_least"], r["tokens_at_least"]) == (len(reach), sum(reach))
+        assert (r["truncated_total"], r["lost_tokens"]) == (cut, sum(own) - cut)
+    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    for r in length_histogram.length_quantiles(totals, shares).collect():
+        assert r["n_tokens"] == next(x for i, x in enumerate(own, 1) if i >= r["share"] * len(own))
+    empty = length_histogram.context_totals(length_histogram.length_histogram(df.limit(0)))
+    assert [tuple(r) for r in length_histogram.totals_at(empty, [7]).collect()] == [(7, 0, 0, 0, 0)]
+    assert [tuple(r) for r in length_histogram.length_quantiles(empty, [0.5]).collect()] == [(0.5, None)]
+
+
 def glob_regex(glob):
     parts = re.split(r"(\*\*|\*|\?)", glob)
     return re.compile("".join({"**": ".*", "*": "[^/]*", "?": "."}.get(p) or re.escape(p) for p in parts), re.S)
