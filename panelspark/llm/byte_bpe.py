@@ -10,7 +10,9 @@ so the cost follows the number of merges, however long a pre-token is.
 A merge can make a pair of a lower rank only if the merged token is the end or
 the beginning of a token of lower rank. Where that happens in front of another
 position of the same pre-token, the order of single merges matters, and this
-pre-token is merged alone, one position at a time.
+pre-token is merged alone, one position at a time. A bucket of few positions
+is merged one by one in any case, without arrays made for it; those behind a
+merge that makes a pair of a lower rank go back into their bucket.
 
 A null text counts as empty and has no tokens. Repeated rows are encoded one by
 one; an empty table gives an empty result; other columns are ignored.
@@ -39,6 +41,8 @@ SLICE_BYTES = 1_000_000
 KNOWN_UNITS, KNOWN_CHARS = 200_000, 4_000_000
 
 NONE = -1
+#: Positions of a bucket up to which they are merged one by one.
+FEW = 64
 #: Unicode white space. A text falls into runs of it and the words between; only those are split by the pattern.
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]").findall
@@ -62,12 +66,12 @@ class RankQueue:
     """Buckets of positions by rank; a bitmap of three levels finds the lowest filled one."""
 
     def __init__(self, ranks: int):
-        self.buckets: list[list[np.ndarray] | None] = [None] * ranks
+        self.buckets: list[list[np.ndarray | int] | None] = [None] * ranks
         self.low = [0] * (ranks // 64 + 1)
         self.mid = [0] * (len(self.low) // 64 + 1)
         self.top = 0
 
-    def push(self, rank: int, positions: np.ndarray) -> None:
+    def push(self, rank: int, positions: np.ndarray | int) -> None:
         bucket = self.buckets[rank]
         if bucket is not None:
             bucket.append(positions)
@@ -78,7 +82,7 @@ class RankQueue:
         self.mid[word >> 6] |= 1 << (word & 63)
         self.top |= 1 << (word >> 6)
 
-    def pop(self) -> tuple[int, list[np.ndarray]] | None:
+    def pop(self) -> tuple[int, list[np.ndarray | int]] | None:
         if not self.top:
             return None
         a = (self.top & -self.top).bit_length() - 1
@@ -180,9 +184,13 @@ class ByteBpe:
         filled = np.flatnonzero(rank[:n] != NONE).astype(np.int32)
         if len(filled):
             queue.push_all(rank[filled], filled)
+        views = [memoryview(a) for a in (tok, nxt, prv, rank)]
         while (popped := queue.pop()) is not None:
             r, bucket = popped
-            at = bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+            if sum(1 if type(b) is int else len(b) for b in bucket) <= FEW:
+                self._merge_few(r, sorted({p for b in bucket for p in ((b,) if type(b) is int else b.tolist())}), *views, n, queue)
+                continue
+            at = bucket[0] if len(bucket) == 1 else np.concatenate([np.atleast_1d(np.asarray(b, dtype=np.int32)) for b in bucket])
             at = at[rank[at] == r]
             if not len(at):
                 continue
@@ -219,6 +227,31 @@ class ByteBpe:
         alive = tok[:n] != NONE
         return tok[:n][alive], np.bincount(piece[alive], minlength=len(pieces))
 
+    def _merge_few(self, r, positions, tok, nxt, prv, rank, n, queue) -> None:
+        """The positions of a bucket from left to right, as long as no pair of lower rank arises."""
+        token, pair = self.token, self.ranks.get
+        merged = token[r]
+        for k, at in enumerate(positions):
+            if rank[at] != r:
+                continue
+            right = nxt[at]
+            after, before = nxt[right], prv[at]
+            tok[at], tok[right], rank[right], nxt[at], prv[after] = r, NONE, NONE, after, at
+            lower = False
+            rank[at] = fresh = NONE if after == n else pair(merged + token[tok[after]], NONE)
+            if fresh != NONE:
+                queue.push(fresh, at)
+                lower = fresh < r
+            if before != n:
+                rank[before] = fresh = pair(token[tok[before]] + merged, NONE)
+                if fresh != NONE:
+                    queue.push(fresh, before)
+                    lower = lower or fresh < r
+            if lower:
+                for later in positions[k + 1:]:
+                    queue.push(r, later)
+                return
+
     def _in_order(self, r, at, tok, nxt, prv, rank, piece, ends, lengths, alone) -> np.ndarray:
         """The positions that can be merged together though `r` can make pairs of lower rank.
 

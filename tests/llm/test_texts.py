@@ -395,6 +395,26 @@ def test_block_globs_see_canonical_urls(spark):
     assert [url_globs.canonical("h", p) for p in ("", "/", "/a/..", "/a/b/..", "/../a/./b", "/a//b")] == ["h", "h/", "h/", "h/a/", "h/a/b", "h/a//b"]
 
 
+def test_small_buckets_are_merged_without_arrays(bpe, reference_encoder, monkeypatch):
+    rng = random.Random(15)
+    pieces = ["".join(rng.choices(letters, k=rng.randint(1, 40))) for letters in ("abcdeio", "ab", "0123456789abcdef", "éüß语的🙂 \n\t", "thinger")
+              for _ in range(80)]
+    want = [reference_encoder.encode_single_token(p.encode()) if p.encode() in bpe.ranks else None for p in pieces]
+    library = tiktoken.Encoding("whole", pat_str="(?s).+", mergeable_ranks=bpe.ranks, special_tokens={})
+    looked, real = [], bpe.pair_ranks
+    monkeypatch.setattr(bpe, "pair_ranks", lambda *a: looked.append(1) or real(*a))
+    calls = []
+    for few in (0, 1, 5, byte_bpe.FEW, 10**9):
+        monkeypatch.setattr(byte_bpe, "FEW", few)
+        looked.clear()
+        ids, counts = bpe.encode_pieces([p.encode() for p in pieces])
+        got = [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [library.encode_ordinary(p) for p in pieces]
+        assert all(w is None or g == [w] for g, w in zip(got, want))
+        calls.append(len(looked))
+    assert calls[0] > 500 and calls[3] < calls[0] / 5 and calls[4] == 1
+
+
 def test_words_are_remembered_and_forgotten(bpe, reference_encoder, monkeypatch):
     texts = [prose(i % 7, 50) + " a" * (i % 3) + "é" * i for i in range(40)]
     want = [reference_encoder.encode(t, disallowed_special=()) for t in texts]
