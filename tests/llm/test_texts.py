@@ -10,7 +10,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+from panelspark import runtime
 from panelspark.llm import byte_bpe, hash_tree, length_histogram, personal, quality, queries, secrets, url_globs
+from panelspark.llm.common import written
 from tests.llm.conftest import prose
 
 VOCABULARY = public_tokenizers.path(queries.VOCABULARY)
@@ -384,6 +386,56 @@ def test_candidates_of_every_shape():
     assert secrets.overlaps([(5, 8), (9, 19), (29, 40)], base) == [True, False, True]
 
 
+def test_network_is_fitted_and_judged_on_all_findings(spark, make_docs, monkeypatch):
+    rng = random.Random(13)
+    draw = lambda n, a="0123456789abcdef": "".join(rng.choices(a, k=n))
+    docs = [(i, " ".join(f"page {draw(12, '0123456789')} of" for _ in range(50)) + (f" token = \"{draw(40)}\" then" if i % 3 == 0 else ""))
+            for i in range(120)]  # 6,000 ordinary findings
+    docs += [(1000 + i, docs[i][1]) for i in range(3)]  # copies are counted once
+    rule = secrets.ScanRule(epochs=3)
+    scanned = written(secrets.scan(make_docs(docs), rule, "doc_id", "text"), "test-scan")
+    every = {(t[s:e], t[max(0, s - 24):s], t[e:e + 24], f) for t in (t for _, t in docs) for base in [secrets.base_spans(t)]
+             for runs in [secrets.candidates(t, rule)] for (s, e), f in zip(runs, secrets.overlaps(runs, base))}
+    monkeypatch.setattr(runtime, "FIT_CELLS", 60_000)  # several parts
+    net = secrets.train(scanned, rule)
+    assert len(every) > 6000 and net.fitted + net.held == len(every) and net.held > 0.15 * len(every)
+    held = [tuple(r) for r in secrets.held_out(secrets.labelled(scanned))[0].where("held").select("cand", "left", "right", "found").collect()]
+    assert len(held) == net.held and set(held) <= {(*f[:3], int(f[3])) for f in every}
+    taken, truth = net.score([r[:3] for r in held]) >= net.threshold, np.array([r[3] for r in held], dtype=bool)
+    assert net.recall == (taken & truth).sum() / truth.sum() >= 0.98
+    assert net.precision == (taken & truth).sum() / taken.sum() >= 0.95
+    spark.conf.set("spark.sql.shuffle.partitions", 7)  # parts do not depend on the layout
+    again = secrets.train(scanned.repartition(5), rule)
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert (again.weights == net.weights).all() and again.threshold == net.threshold
+
+
+def test_kinds_of_few_findings_are_fitted_and_held_out(spark):
+    for secret_count in (0, 1, 2, 7):
+        rows = [(f"c{i}", "", "", int(i < secret_count), i * 5 + 5) for i in range(secret_count + 30)]
+        df, number, chars = secrets.held_out(spark.createDataFrame(rows, "cand string, left string, right string, found int, h long"))
+        got = df.collect()
+        assert chars == sum(len(r[0]) for r in rows) and sum(number.values()) == sum(r.fitted for r in got)
+        assert all(r.held or r.fitted for r in got)
+        for kind in set(r.found for r in got):
+            own = [r for r in got if r.found == kind]
+            assert any(r.held for r in own) and any(r.fitted for r in own)
+            assert len(own) == 1 or not any(r.held and r.fitted for r in own)
+
+
+def test_long_candidates_go_through_in_stretches(monkeypatch):
+    rng = random.Random(14)
+    rows = [("".join(rng.choices("0123456789abcdef", k=n)), "see " * (n % 3), "") for n in (8, 1000, 9, 300, 8)]
+    labels = [0, 1, 0, 1, 1]
+    nets = []
+    for stretch in (10**6, 97):
+        monkeypatch.setattr(secrets, "_STRETCH", stretch)
+        net = secrets.CharNet(secrets.ScanRule())
+        net.learn(rows, labels, 0)
+        nets.append((net.levels(rows), net.weights))
+    assert np.abs(nets[0][0] - nets[1][0]).max() <= 1 and np.abs(nets[0][1] - nets[1][1]).max() < 1e-3
+
+
 def test_block_globs_see_canonical_urls(spark):
     cases = [("http://x.com/WP-Login.php", "block"), ("http://x.com/a/Setup.EXE", "block"), ("http://x.com/%77p-admin/", "block"),
              ("http://x.com/wp-admin/../a", "allow"), ("http://x.com/b/./../cgi-bin/x", "block"), ("http://x.com/a%2Fwp-login", "allow"),
