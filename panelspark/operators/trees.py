@@ -15,6 +15,9 @@ not in the table: a pass over it gives the split statistics of all of them.
   one task, which grows the rest of it.
 - A model whose rows in all are below the bound (`LOCAL_CELLS` cells) is grown
   by one task, with many such models side by side.
+- Rows of equal bins fall into the same nodes and, in a booster, have the same
+  score. Boosters see each of them once with its counts; a forest draws every
+  row's weights and adds them up by bins before it grows a tree.
 
 Gradients are rounded to 2^-20, so sums are exact and do not depend on the order
 or the partitioning of rows: the passes and the single tasks give the same trees,
@@ -27,6 +30,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,8 +42,10 @@ from panelspark.runtime import cut_lineage
 
 #: Bins of a column, as in Spark's own trees.
 BINS = 32
-#: Cells (rows x columns) of a node or model that one task may grow by itself.
-LOCAL_CELLS = 4_000_000
+#: Cells (rows x columns, a byte each, and 8 for the id of a row) of a model that one task may grow by itself.
+LOCAL_CELLS = 64_000_000
+#: Cells of a node that one task may finish.
+NODE_CELLS = 4_000_000
 #: Cells that a task of a pass takes.
 TASK_CELLS = 8_000_000
 #: Boosted trees between two written tables of scores.
@@ -48,6 +54,11 @@ SNAPSHOT = 20
 TREES_AT_ONCE, TREES_PER_TASK = 16, 25
 _GRAIN = float(2**20)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+#: The weight that the first 12 bits of a drawn number give, and whether the others decide.
+_WEIGHT, _HIGHEST = (np.searchsorted(_POISSON, (np.arange(4096) * 2.0**41 + more) / 2.0**53, side="right") for more in (0, 2**41 - 1))
+_OPEN = _WEIGHT != _HIGHEST
+#: Rows that are hashed, binned or walked down at once.
+_BLOCK = 16_384
 
 
 @dataclass(frozen=True)
@@ -106,23 +117,34 @@ class TreeModel:
         join = lambda name: np.concatenate([getattr(t, name) for t in trees])
         return cls(spec, cuts, base, join("feature"), join("bin"), join("left") + np.repeat(starts, sizes), join("value"), starts)
 
-    def probabilities(self, bins: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    def probabilities(self, bins: np.ndarray, chunk: int = _BLOCK) -> np.ndarray:
         """Forests: one column per class. Boosters: the score of `target` as one column."""
-        out = []
+        forest = self.spec.kind == "forest"
+        out = [np.zeros((0, self.value.shape[1] if forest else 1))]
         for start in range(0, len(bins), chunk):
             part = bins[start:start + chunk]
-            rows = np.arange(len(part))[:, None]
-            node = np.broadcast_to(self.roots, (len(part), len(self.roots))).copy()
-            while True:
-                to = self.left[node] + (part[rows, self.feature[node]] > self.bin[node])
-                if (to == node).all():
-                    break
-                node = to
-            values = self.value[node]
-            out.append(values.mean(axis=1) if self.spec.kind == "forest" else
-                       _sigmoid(self.base + values.sum(axis=1)))
-        width = self.value.shape[1] if self.spec.kind == "forest" else 1
-        return np.concatenate(out) if out else np.zeros((0, width))
+            total = np.zeros((len(part), self.value.shape[1]))
+            for leaf in self._leaves(part):
+                total += self.value[leaf]
+            out.append(total / len(self.roots) if forest else _sigmoid(self.base + total))
+        return np.concatenate(out)
+
+    def _leaves(self, part: np.ndarray) -> Iterator[np.ndarray]:
+        """The leaf of every row, tree by tree; rows that have arrived are left behind."""
+        flat, places = part.ravel(), np.arange(len(part)) * part.shape[1]
+        at_leaf = self.left == np.arange(len(self.left))
+        for root in self.roots:
+            out = np.full(len(part), root)
+            rows = np.arange(len(part) if not at_leaf[root] else 0)
+            node, place = out[rows], places[rows]
+            while len(rows):
+                node = self.left[node] + (flat[place + self.feature[node]] > self.bin[node])
+                there = at_leaf[node]
+                if 4 * np.count_nonzero(there) >= len(rows):
+                    out[rows[there]] = node[there]
+                    on = np.flatnonzero(~there)
+                    rows, node, place = rows[on], node[on], place[on]
+            yield out
 
 
 def _sigmoid(x):
@@ -157,8 +179,33 @@ def _mix(*parts) -> np.ndarray:
 
 def bootstrap(ids: np.ndarray, spec: TreeSpec, tree: int) -> np.ndarray:
     """How often each row stands in the sample of a tree: Poisson with mean 1."""
-    u = (_mix(spec.seed, -1 if spec.fold is None else spec.fold, tree, ids) >> np.uint64(11)).astype(float) / 2.0**53
-    return np.searchsorted(_POISSON, u, side="right")
+    out = np.empty(len(ids), np.int64)
+    for start in range(0, len(ids), _BLOCK):
+        h = _mix(spec.seed, -1 if spec.fold is None else spec.fold, tree, ids[start:start + _BLOCK])
+        first = h >> np.uint64(52)
+        w = _WEIGHT[first]
+        at = np.flatnonzero(_OPEN[first])
+        w[at] = np.searchsorted(_POISSON, (h[at] >> np.uint64(11)).astype(float) / 2.0**53, side="right")
+        out[start:start + _BLOCK] = w
+    return out
+
+
+def collapsed(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of bins, and which of them each row is."""
+    if not len(bins):
+        return bins, np.zeros(0, np.int64)
+    words = -(-bins.shape[1] // 8)
+    wide = np.zeros((len(bins), words * 8), np.uint8)
+    wide[:, :bins.shape[1]] = bins
+    keys = wide.view(np.uint64)
+    if words > 1:  # a hash of the row stands for it, unless two different rows share one
+        hashed = _mix(*keys.T)
+        _, first, at = np.unique(hashed, return_index=True, return_inverse=True)
+        if not (bins[first[at]] == bins).all():
+            _, first, at = np.unique(wide.view(f"V{words * 8}").ravel(), return_index=True, return_inverse=True)
+    else:
+        _, first, at = np.unique(keys[:, 0], return_index=True, return_inverse=True)
+    return bins[first], at.ravel()
 
 
 def _node_features(spec: TreeSpec, tree: int, paths: np.ndarray, width: int) -> np.ndarray:
@@ -173,11 +220,13 @@ def _node_features(spec: TreeSpec, tree: int, paths: np.ndarray, width: int) ->
 def _histogram(bins: np.ndarray, node: np.ndarray, stats: np.ndarray, features: np.ndarray) -> np.ndarray:
     """Sums of `stats` by node, feature slot and bin."""
     nodes, slots = features.shape
-    rows = np.arange(len(bins))[:, None]
-    cell = ((node[:, None] * slots + np.arange(slots)) * BINS + bins[rows, features[node]]).ravel()
-    size = nodes * slots * BINS
-    return np.stack([np.bincount(cell, np.repeat(stats[:, s], slots), size) for s in range(stats.shape[1])], axis=1).reshape(
-        nodes, slots, BINS, stats.shape[1])
+    flat, places, own = bins.ravel(), np.arange(len(bins)) * bins.shape[1], node * BINS
+    out, columns = np.empty((nodes, slots, BINS, stats.shape[1])), np.ascontiguousarray(stats.T)
+    for slot in range(slots):
+        cell = own + flat[places + features[node, slot]]
+        for s, values in enumerate(columns):
+            out[:, slot, :, s] = np.bincount(cell, values, nodes * BINS).reshape(nodes, BINS)
+    return out
 
 
 def _best(hist: np.ndarray, spec: TreeSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,54 +266,60 @@ class Grower:
 
     def __init__(self, spec: TreeSpec, tree: int, width: int, sums: np.ndarray, path: int = 0, depth: int = 0):
         self.spec, self.tree, self.width, self.depth = spec, tree, width, depth
-        self.feature, self.bin, self.left = [0], [255], [0]
-        self.value = [_leaf(sums[None], spec)[0]]
+        self.feature, self.bin, self.left = np.zeros(1, np.int32), np.full(1, 255, np.uint8), np.zeros(1, np.int64)
+        self.value = _leaf(sums[None], spec)
         self.open, self.paths, self.sums = np.array([0]), np.array([path], np.int64), sums[None]
+        self.grafts: list[tuple[int, Tree]] = []
         self._drop_closed()
 
+    def keep(self, chosen: np.ndarray) -> None:
+        """Only these open nodes stay open."""
+        self.open, self.paths, self.sums = self.open[chosen], self.paths[chosen], self.sums[chosen]
+        self._features: np.ndarray | None = None
+
     def _drop_closed(self) -> None:
         keep = np.full(len(self.open), self.depth < self.spec.depth)
         if self.spec.kind == "forest":
             keep &= (self.sums > 0).sum(axis=1) > 1
-        self.open, self.paths, self.sums = self.open[keep], self.paths[keep], self.sums[keep]
+        self.keep(keep)
 
     def features(self) -> np.ndarray:
-        return _node_features(self.spec, self.tree, self.paths, self.width)
+        if self._features is None:
+            self._features = _node_features(self.spec, self.tree, self.paths, self.width)
+        return self._features
 
     def split(self, slot, cut, good, left, right) -> None:
         """Turn open nodes with a good split into two open ones each."""
         chosen = self.features()[np.arange(len(slot)), slot]
-        opened, paths, sums = [], [], []
-        for i in np.flatnonzero(good):
-            node, first = int(self.open[i]), len(self.left)
-            self.feature[node], self.bin[node], self.left[node] = int(chosen[i]), int(cut[i]), first
-            for k, s in enumerate((left[i], right[i])):
-                self.feature.append(0)
-                self.bin.append(255)
-                self.left.append(first + k)
-                opened.append(first + k)
-                paths.append(2 * self.paths[i] + 1 + k)
-                sums.append(s)
+        at, first = np.flatnonzero(good), len(self.left)
         self.depth += 1
-        if not opened:
+        if not len(at):
             self.open = self.open[:0]
             return
-        self.open, self.paths, self.sums = np.array(opened), np.array(paths, np.int64), np.array(sums)
-        self.value += list(_leaf(self.sums, self.spec))
+        nodes, born = self.open[at], first + np.arange(2 * len(at))
+        self.feature[nodes], self.bin[nodes], self.left[nodes] = chosen[at], cut[at], born[::2]
+        self.feature = np.concatenate([self.feature, np.zeros(len(born), np.int32)])
+        self.bin = np.concatenate([self.bin, np.full(len(born), 255, np.uint8)])
+        self.left = np.concatenate([self.left, born])
+        self.open, self.paths = born, (2 * self.paths[at, None] + [1, 2]).ravel()
+        self.sums = np.stack([left[at], right[at]], axis=1).reshape(len(born), -1)
+        self.value = np.concatenate([self.value, _leaf(self.sums, self.spec)])
         self._drop_closed()
 
     def graft(self, node: int, sub: Tree) -> None:
         """Put a subtree in the place of a node."""
-        shift = len(self.left) - 1
-        move = lambda left: node if left == 0 else left + shift
-        self.feature[node], self.bin[node], self.left[node] = int(sub.feature[0]), int(sub.bin[0]), move(int(sub.left[0]))
-        self.feature += sub.feature[1:].tolist()
-        self.bin += sub.bin[1:].tolist()
-        self.left += [move(x) for x in sub.left[1:].tolist()]
-        self.value += list(sub.value[1:])
+        self.grafts.append((node, sub))
 
     def done(self) -> Tree:
-        return Tree(np.array(self.feature, np.int32), np.array(self.bin, np.uint8), np.array(self.left, np.int64), np.array(self.value))
+        feature, bin_, left, value = self.feature.copy(), self.bin.copy(), self.left.copy(), self.value
+        more, size = [], len(left)
+        for node, sub in self.grafts:
+            moved = np.where(sub.left == 0, node, sub.left + size - 1)
+            feature[node], bin_[node], left[node] = sub.feature[0], sub.bin[0], moved[0]
+            more.append((sub.feature[1:], sub.bin[1:], moved[1:], sub.value[1:]))
+            size += len(sub.left) - 1
+        parts = list(zip((feature, bin_, left, value), *more))
+        return Tree(*(np.concatenate(p).astype(t) for p, t in zip(parts, (np.int32, np.uint8, np.int64, float))))
 
 
 def _grow(grower: Grower, bins: np.ndarray, stats: np.ndarray) -> Tree:
@@ -277,15 +332,15 @@ def _grow(grower: Grower, bins: np.ndarray, stats: np.ndarray) -> Tree:
         keep = at >= 0
         bins, stats, node, at = bins[keep], stats[keep], node[keep], at[keep]
         grower.split(*_best(_histogram(bins, at, stats, grower.features()), grower.spec))
-        left, cut, feature = np.array(grower.left), np.array(grower.bin), np.array(grower.feature)
-        node = left[node] + (bins[np.arange(len(node)), feature[node]] > cut[node])
+        node = grower.left[node] + (bins[np.arange(len(node)), grower.feature[node]] > grower.bin[node])
     return grower.done()
 
 
-def _gradients(score: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Count, gradient and curvature of each row, in whole grains."""
+def _gradients(score: np.ndarray, rows: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Count, gradient and curvature, in whole grains, of `rows` rows of a score, `hits` of them of the target class."""
     p = _sigmoid(score)
-    return np.stack([np.ones(len(y)), np.rint((y - p) * _GRAIN), np.maximum(np.rint(p * (1 - p) * _GRAIN), 1)], axis=1)
+    gradient = hits * np.rint((1 - p) * _GRAIN) + (rows - hits) * np.rint(-p * _GRAIN)
+    return np.stack([rows, gradient, rows * np.maximum(np.rint(p * (1 - p) * _GRAIN), 1)], axis=1)
 
 
 def _class_sums(y: np.ndarray, w: np.ndarray, classes: int) -> np.ndarray:
@@ -294,21 +349,55 @@ def _class_sums(y: np.ndarray, w: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
-def _boost_local(spec: TreeSpec, base: float, bins: np.ndarray, y: np.ndarray) -> list[Tree]:
-    score, trees = np.full(len(y), base), []
+def _grow_boosted(grower: Grower, columns: np.ndarray, stats: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """A tree over rows of bins given by column, and the leaf of every row.
+
+    Of two children only the one of fewer rows is summed; the other is the rest of their node.
+    """
+    width, rows = columns.shape
+    node, places, whole = np.zeros(rows, np.int64), np.arange(rows), np.zeros((0, width, BINS, 3))
+    by_stat = np.ascontiguousarray(stats.T)
+    while len(grower.open):
+        place = np.full(len(grower.left), -1)
+        place[grower.open] = np.arange(len(grower.open))
+        at, least = place[node], np.arange(len(grower.open))
+        if len(whole):
+            size = np.bincount(at[at >= 0], minlength=len(least)).reshape(-1, 2)
+            least = 2 * np.arange(len(size)) + (size[:, 1] < size[:, 0])
+        slot = np.full(len(grower.open) + 1, -1)
+        slot[least] = np.arange(len(least))
+        slot = slot[at]
+        some = np.flatnonzero(slot >= 0)
+        own, values = slot[some] * BINS, by_stat[:, some]
+        hist = np.empty((len(grower.open), width, BINS, 3))
+        for j in range(width):
+            cell = own + columns[j, some]
+            for s in range(3):
+                hist[least, j, :, s] = np.bincount(cell, values[s], len(least) * BINS).reshape(-1, BINS)
+        if len(whole):
+            hist[least ^ 1] = whole - hist[least]
+        splits = _best(hist, grower.spec)
+        grower.split(*splits)
+        whole = hist[splits[2]]
+        node = grower.left[node] + (columns[grower.feature[node], places] > grower.bin[node])
+    return grower.done(), node
+
+
+def _boost_local(spec: TreeSpec, base: float, bins: np.ndarray, rows: np.ndarray, hits: np.ndarray) -> list[Tree]:
+    score, trees, columns = np.full(len(bins), base), [], np.ascontiguousarray(bins.T)
     for t in range(spec.trees):
-        stats = _gradients(score, y)
-        tree = _grow(Grower(spec, t, bins.shape[1], stats.sum(axis=0)), bins, stats)
-        score = score + tree.value[tree.leaves(bins), 0]
+        stats = _gradients(score, rows, hits)
+        tree, leaf = _grow_boosted(Grower(spec, t, bins.shape[1], stats.sum(axis=0)), columns, stats)
+        score = score + tree.value[leaf, 0]
         trees.append(tree)
     return trees
 
 
-def _forest_tree(spec: TreeSpec, tree: int, bins: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int,
-                 path: int = 0, depth: int = 0) -> Tree:
-    drawn = w > 0
-    stats = _class_sums(y[drawn], w[drawn], classes)
-    return _grow(Grower(spec, tree, bins.shape[1], stats.sum(axis=0), path, depth), bins[drawn], stats)
+def _forest_tree(spec: TreeSpec, tree: int, bins: np.ndarray, sums: np.ndarray, path: int = 0, depth: int = 0) -> Tree:
+    """A tree over different rows of bins and the weight of each class there."""
+    drawn = sums.any(axis=1)
+    bins, sums = bins[drawn], sums[drawn]
+    return _grow(Grower(spec, tree, bins.shape[1], sums.sum(axis=0), path, depth), bins, sums)
 
 
 _BLOB = "unit int, tree int, path long, feature binary, bin binary, left binary, value binary"
@@ -318,6 +407,11 @@ def _pack(unit: int, tree: int, path: int, t: Tree) -> tuple:
     return unit, tree, path, t.feature.tobytes(), t.bin.tobytes(), t.left.tobytes(), t.value.tobytes()
 
 
+def _table(rows: list[tuple]) -> pa.Table:
+    types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _BLOB.split(", ")])
+
+
 def _unpack(row) -> Tree:
     left = np.frombuffer(row["left"], np.int64)
     return Tree(np.frombuffer(row["feature"], np.int32), np.frombuffer(row["bin"], np.uint8), left,
@@ -338,6 +432,22 @@ class TreeTable:
     #: (fold, class) -> rows
     counts: dict[tuple[int, int], int] = field(default_factory=dict)
 
+    @cached_property
+    def groups(self) -> DataFrame:
+        """The different rows by fold and class, `_n` rows each."""
+        grouped = self.rows.groupBy("_y", "_fold", "_bins").agg(F.count(F.lit(1)).alias("_n"))
+        return cut_lineage(grouped.repartition(self.rows.rdd.getNumPartitions(), "_bins"))
+
+    @cached_property
+    def group_counts(self) -> dict[int, int]:
+        """fold -> different rows"""
+        return {r[0]: r[1] for r in self.groups.groupBy("_fold").count().collect()}
+
+    def cells(self, spec: TreeSpec) -> int:
+        """What a task that grows a model by itself must hold."""
+        rows = self.size(spec) if spec.kind == "forest" else sum(n for f, n in self.group_counts.items() if f != spec.fold)
+        return rows * (self.width + 8)
+
     def size(self, spec: TreeSpec) -> int:
         return sum(n for (f, _), n in self.counts.items() if f != spec.fold)
 
@@ -374,7 +484,7 @@ def tree_table(data: DataFrame, key: str, label: str, fold: str, features: str,
 
 def fit_trees(table: TreeTable, specs: Sequence[TreeSpec]) -> list[TreeModel]:
     """All models, small ones one task each, large ones by shared passes."""
-    near = [i for i, s in enumerate(specs) if table.size(s) * table.width <= LOCAL_CELLS]
+    near = [i for i, s in enumerate(specs) if table.cells(s) <= LOCAL_CELLS]
     trees: dict[int, list[Tree]] = _fit_near(table, specs, near) if near else {}
     far = [i for i in range(len(specs)) if i not in trees]
     boosts = [i for i in far if specs[i].kind == "boost"]
@@ -386,33 +496,58 @@ def fit_trees(table: TreeTable, specs: Sequence[TreeSpec]) -> list[TreeModel]:
     return [TreeModel.of(s, table.cuts, table.base(s) if s.kind == "boost" else 0.0, trees[i]) for i, s in enumerate(specs)]
 
 
+def _packed(rows: DataFrame, number: str) -> DataFrame:
+    """Rows in blocks of one fold: `_fold` and the bytes of `number` (id or count), class and bins."""
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            fold, y, n = (b.column(c).to_numpy() for c in ("_fold", "_y", number))
+            flat = np.frombuffer(b"".join(b.column("_bins").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            for f in np.unique(fold):
+                own = fold == f
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (n.astype(np.int64), y.astype(np.int32), flat))],
+                    names=["_fold", "n", "y", "bins"])
+
+    return rows.mapInArrow(pack, "_fold int, n binary, y binary, bins binary")
+
+
 def _fit_near(table: TreeTable, specs: Sequence[TreeSpec], chosen: list[int]) -> dict[int, list[Tree]]:
     """Models below the bound: one task per booster and per `TREES_PER_TASK` trees of a forest."""
-    units = [(i, t) for i in chosen for t in (
-        range(0, specs[i].trees, TREES_PER_TASK) if specs[i].kind == "forest" else [0])]
+    found: dict[int, dict[int, Tree]] = {i: {} for i in chosen}
+    for kind, rows, number in (("boost", "groups", "_n"), ("forest", "rows", "_id")):
+        units = [(i, t) for i in chosen if specs[i].kind == kind for t in (
+            range(0, specs[i].trees, TREES_PER_TASK) if kind == "forest" else [0])]
+        if units:
+            for row in _near_units(table, specs, units, _packed(getattr(table, rows), number)):
+                found[units[row["unit"]][0]][row["tree"]] = _unpack(row)
+    return {i: [found[i][t] for t in sorted(found[i])] for i in chosen}
+
+
+def _near_units(table: TreeTable, specs: Sequence[TreeSpec], units: list[tuple[int, int]], packed: DataFrame) -> Iterator:
     width, classes = table.width, table.classes
-    bases = {i: table.base(specs[i]) for i in chosen}
+    bases = {i: table.base(specs[i]) for i, _ in units if specs[i].kind == "boost"}
     held = F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(-2 if specs[i].fold is None else specs[i].fold).alias("f"))
                      for u, (i, _) in enumerate(units)])
-    dealt = (table.rows.withColumn("_unit", F.explode(held)).where("_unit.f <> _fold")
-             .select(F.col("_unit.unit").alias("unit"), "_id", "_y", "_bins").repartition(len(units), "unit"))
+    dealt = (packed.withColumn("_unit", F.explode(held)).where("_unit.f <> _fold")
+             .select(F.col("_unit.unit").alias("unit"), "n", "y", "bins").repartitionByRange(len(units), "unit"))
 
-    def grow(part: pd.DataFrame) -> pd.DataFrame:
-        unit = int(part["unit"].iloc[0])
+    def grow(part: pa.Table) -> pa.Table:
+        unit = part.column("unit")[0].as_py()
         i, first = units[unit]
-        spec, bins, y = specs[i], _matrix(part["_bins"], width), part["_y"].to_numpy()
+        spec = specs[i]
+        n, y, flat = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("n", np.int64), ("y", np.int32), ("bins", np.uint8)))
+        bins, at = collapsed(flat.reshape(-1, width))
         if spec.kind == "boost":
-            grown = enumerate(_boost_local(spec, bases[i], bins, (y == spec.target).astype(float)))
+            rows, hits = (np.bincount(at, w, len(bins)) for w in (n, n * (y == spec.target)))
+            grown = enumerate(_boost_local(spec, bases[i], bins, rows, hits))
         else:
-            ids = part["_id"].to_numpy()
-            grown = ((t, _forest_tree(spec, t, bins, y, bootstrap(ids, spec, t), classes))
-                     for t in range(first, min(first + TREES_PER_TASK, spec.trees)))
-        return pd.DataFrame([_pack(unit, t, 0, tree) for t, tree in grown], columns=[c.split()[0] for c in _BLOB.split(", ")])
+            cell, size = at * classes + y, len(bins) * classes
+            sums = ((t, np.bincount(cell, bootstrap(n, spec, t), size).reshape(-1, classes))
+                    for t in range(first, min(first + TREES_PER_TASK, spec.trees)))
+            grown = ((t, _forest_tree(spec, t, bins, own)) for t, own in sums)
+        return _table([_pack(unit, t, 0, tree) for t, tree in grown])
 
-    found: dict[int, dict[int, Tree]] = {i: {} for i in chosen}
-    for row in dealt.groupBy("unit").applyInPandas(grow, _BLOB).toLocalIterator():
-        found[units[row["unit"]][0]][row["tree"]] = _unpack(row)
-    return {i: [found[i][t] for t in sorted(found[i])] for i in chosen}
+    return dealt.groupBy("unit").applyInArrow(grow, _BLOB).toLocalIterator(prefetchPartitions=True)
 
 
 _SPLIT = "model int, node int, slot int, cut int, good boolean, left binary, right binary"
@@ -447,7 +582,7 @@ def _boost_by_passes(table: TreeTable, specs: Sequence[TreeSpec]) -> list[list[T
     """All boosters at once, level by level; a tree's root counts are known from its first pass."""
     width = table.width
     bases = [table.base(s) for s in specs]
-    rows = table.rows.withColumn("_score", F.array(*map(F.lit, bases)))
+    rows = table.groups.withColumn("_score", F.array(*map(F.lit, bases)))
     trees: list[list[Tree]] = [[] for _ in specs]
     since = 0
 
@@ -471,13 +606,13 @@ def _boost_by_passes(table: TreeTable, specs: Sequence[TreeSpec]) -> list[list[T
                 found: dict[tuple[int, int], np.ndarray] = {}
                 for b in parts:
                     bins, score = scored(b, newer)
-                    y, fold = b.column("_y").to_numpy(), b.column("_fold").to_numpy()
+                    y, fold, n = (b.column(c).to_numpy() for c in ("_y", "_fold", "_n"))
                     for m, (tree, opened) in partial.items():
                         place = np.full(len(tree.left), -1)
                         place[opened] = np.arange(len(opened))
                         at = place[tree.leaves(bins)]
                         seen = (at >= 0) & (fold != (-2 if specs[m].fold is None else specs[m].fold))
-                        stats = _gradients(score[seen, m], (y[seen] == specs[m].target).astype(float))
+                        stats = _gradients(score[seen, m], n[seen], n[seen] * (y[seen] == specs[m].target))
                         all_columns = np.broadcast_to(np.arange(width), (len(opened), width))
                         hist = _histogram(bins[seen], at[seen], stats, all_columns)
                         for i, node in enumerate(opened):
@@ -517,7 +652,7 @@ def _forest_by_passes(table: TreeTable, spec: TreeSpec) -> list[Tree]:
 def _grow_group(table: TreeTable, spec: TreeSpec, numbers: range) -> list[Tree]:
     width, classes = table.width, table.classes
     rows = table.rows.where(F.col("_fold") != (-2 if spec.fold is None else spec.fold))
-    bound = LOCAL_CELLS // width
+    bound = min(LOCAL_CELLS, NODE_CELLS) // width
 
     def members(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _matrix(b.column("_bins").to_pylist(), width), b.column("_y").to_numpy(), b.column("_id").to_numpy()
@@ -552,7 +687,7 @@ def _grow_group(table: TreeTable, spec: TreeSpec, numbers: range) -> list[Tree]:
         for t, g in growers.items():
             few = g.sums.sum(axis=1) <= bound if len(g.open) else np.zeros(0, bool)
             small |= {(t, int(n)): (int(p), g.depth) for n, p in zip(g.open[few], g.paths[few])}
-            g.open, g.paths, g.sums = g.open[~few], g.paths[~few], g.sums[~few]
+            g.keep(~few)
     if small:
         finished = {t: g.done() for t, g in growers.items()}
 
@@ -570,7 +705,9 @@ def _grow_group(table: TreeTable, spec: TreeSpec, numbers: range) -> list[Tree]:
         def finish(part: pd.DataFrame) -> pd.DataFrame:
             t, node = int(part["unit"].iloc[0]), int(part["node"].iloc[0])
             path, depth = small[t, node]
-            tree = _forest_tree(spec, t, _matrix(part["bins"], width), part["y"].to_numpy(), part["w"].to_numpy(), classes, path, depth)
+            bins, at = collapsed(_matrix(part["bins"], width))
+            sums = np.bincount(at * classes + part["y"].to_numpy(), part["w"].to_numpy(), len(bins) * classes).reshape(-1, classes)
+            tree = _forest_tree(spec, t, bins, sums, path, depth)
             return pd.DataFrame([_pack(t, node, path, tree)], columns=[c.split()[0] for c in _BLOB.split(", ")])
 
         dealt = rows.mapInArrow(deal, "unit int, node long, y int, w int, bins binary")

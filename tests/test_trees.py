@@ -117,3 +117,29 @@ def test_bootstrap_weights_are_poisson():
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     other = trees.bootstrap(np.arange(200_000), TreeSpec("forest", 1, 1), 1)
     assert abs(np.corrcoef(w, other)[0, 1]) < 0.01
+
+
+def test_equal_rows_are_grown_once(spark, monkeypatch):
+    """Copies of rows cost no more than their counts, by single tasks and by passes, and weigh as often as they come."""
+    few = sample(spark, 60)
+    many = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("id", F.col("id") * 100 + F.col("copy"))
+    one, all_ = (trees.tree_table(d, "id", "label", "fold", "x", 5, 2) for d in (few, many))
+    assert all_.groups.count() == one.groups.count() and all_.groups.agg(F.sum("_n")).first()[0] == 2400
+    boost = [TreeSpec("boost", 5, 3), TreeSpec("boost", 4, 4, fold=2)]
+    assert all_.cells(boost[0]) == one.cells(boost[0])
+    near = [canonical(m) for m in trees.fit_trees(all_, boost)]
+    assert near == [canonical(m) for m in trees.fit_trees(one, boost)]  # splits and steps depend on shares alone
+    monkeypatch.setattr(trees, "LOCAL_CELLS", 0)
+    assert near == [canonical(m) for m in trees.fit_trees(all_, boost)]
+
+
+def test_collapsed_rows_and_drawn_weights():
+    rng = np.random.default_rng(3)
+    for width in (1, 5, 8, 9, 64):
+        bins = rng.integers(0, 3, (500, width)).astype(np.uint8)
+        bins[250:] = bins[:250]
+        kept, at = trees.collapsed(bins)
+        assert (kept[at] == bins).all() and len(kept) == len({r.tobytes() for r in bins})
+    spec, ids = TreeSpec("forest", 1, 1, fold=3), rng.integers(-2**62, 2**62, 50_000)
+    u = (trees._mix(spec.seed, 3, 7, ids) >> np.uint64(11)).astype(float) / 2.0**53
+    assert (trees.bootstrap(ids, spec, 7) == np.searchsorted(trees._POISSON, u, side="right")).all()
