@@ -143,3 +143,26 @@ def test_collapsed_rows_and_drawn_weights():
     spec, ids = TreeSpec("forest", 1, 1, fold=3), rng.integers(-2**62, 2**62, 50_000)
     u = (trees._mix(spec.seed, 3, 7, ids) >> np.uint64(11)).astype(float) / 2.0**53
     assert (trees.bootstrap(ids, spec, 7) == np.searchsorted(trees._POISSON, u, side="right")).all()
+
+
+def test_tree_tasks_run_side_by_side(small_table, monkeypatch):
+    """The tasks of one call are one job: read as they are made, they would run one after the other."""
+    seen = []
+    monkeypatch.setattr(trees, "cut_lineage", lambda df, cut=trees.cut_lineage: (seen.append(df.columns), cut(df))[1])
+    trees.fit_trees(small_table, [TreeSpec("forest", 3, 8)])
+    assert ["unit", "tree", "path", "feature", "bin", "left", "value"] in seen
+
+
+def test_stack_bins_and_walks_equal_rows_once(monkeypatch):
+    from panelspark.operators import ensemble
+
+    rng, cuts = np.random.default_rng(5), [np.array([-0.5, 0.5]), np.array([0.0])]
+    tree = trees.Tree(np.array([0, 0, 0], np.int32), np.array([1, 255, 255], np.uint8), np.array([1, 1, 2]), np.array([[0.0], [-0.4], [0.7]]))
+    forest = trees.Tree(tree.feature, tree.bin, tree.left, np.array([[0.5, 0.5], [0.9, 0.1], [0.2, 0.8]]))
+    learners = [ensemble.TreeLearner((trees.TreeModel.of(TreeSpec(kind, 1, 1), cuts, 0.1, [t]),), 2) for kind, t in (("boost", tree), ("forest", forest))]
+    x, binned, walked = rng.normal(size=(300, 2)), [], []
+    wanted = np.concatenate([b.probabilities(x)[:, [1]] for b in learners], axis=1)
+    monkeypatch.setattr(trees, "to_bins", lambda x, c, f=trees.to_bins: (binned.append(len(x)), f(x, c))[1])
+    monkeypatch.setattr(trees, "class_scores", lambda m, b, n, f=trees.class_scores: (walked.append(len(b)), f(m, b, n))[1])
+    assert (ensemble._meta_rows(learners, x, 2, False) == wanted).all()
+    assert binned == [300] and max(walked) <= 6
