@@ -488,3 +488,17 @@ def test_stretches_of_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
     parts = [b.column(0).to_pylist() for b in by_bytes(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]), 1, 20)]
     assert parts == [[0, 1, 2], [3], [4, 5, 6], [], [3], [4]]
+
+
+def test_secret_gradient_of_joined_texts():
+    """One array of windows gives the very weights that three give, also with empty contexts and in turn with long texts."""
+    rng = random.Random(4)
+    some = ["".join(rng.choices("abcXYZ0189+/_.=-é", k=rng.randint(8, 40))) for _ in range(200)]
+    rows = [(t, "" if i % 7 == 0 else t[::-1][:24], "" if i % 5 == 0 else "key = ") for i, t in enumerate(some)] + [("x1" * 9000, "a", "b")]
+    labels = [int(i % 3 == 0) for i in range(len(rows))]
+    one, two = secrets.CharNet(secrets.ScanRule()), secrets.CharNet(secrets.ScanRule())
+    two._joined_gradient = lambda joined, *rest: two._gradient(two._texts(rows), *rest)
+    for number in range(2):
+        one.learn(rows, labels, number)
+        two.learn(rows, labels, number)
+    assert (one.weights == two.weights).all() and hasattr(secrets, "JoinedTexts")
